@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -173,8 +172,8 @@ def vectoriser_tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def _gram_at(tokens: Column, n: int, start: Column) -> Column:
-    return F.concat_ws(" ", *[F.get(tokens, start - 1 + j) for j in range(n)])
+def _grams_at(tokens: Column, n: int, starts: Column) -> Column:
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i - 1 + j) for j in range(n)]))
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
@@ -186,7 +185,7 @@ def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
             continue
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))) \
             .otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, partial(_gram_at, tokens, n)))
+        grams.append(_grams_at(tokens, n, starts))
     return grams[0] if len(grams) == 1 else F.concat(*grams)
 
 

@@ -9,13 +9,12 @@ that bounded array: no join, no shuffle, no Python function.
 from __future__ import annotations
 
 import math
-from functools import partial
 
 from pyspark.sql import Column, functions as F
 
 from .cleaning import safe_split, words
 from .measures import ratio_or_null, ratio_or_zero
-from .vectors import pearson, total
+from .vectors import let, pearson, total
 
 KEYWORDS = ("memory", "microcontroller", "processor", "system", "unknown")
 HOUR = 3_600
@@ -39,8 +38,8 @@ def _mean(values: Column) -> Column:
 
 def _central(values: Column, power: int) -> Column:
     """Mean of the given power of the distance to the mean."""
-    return F.get(F.transform(F.array(_mean(values)), lambda mean: _mean(
-        F.transform(values, lambda x: F.pow(x - mean, F.lit(float(power)))))), F.lit(0))
+    return let(_mean(values), lambda mean: _mean(
+        F.transform(values, lambda x: F.pow(x - mean, F.lit(float(power))))))
 
 
 def _std(values: Column) -> Column:
@@ -62,6 +61,10 @@ def _from_end(values: Column, k: int) -> Column:
     return F.when(F.size(values) >= k, F.get(values, F.size(values) - k))
 
 
+def _parts(messages: Column, n: int) -> Column:
+    return F.transform(messages, lambda text: safe_split(text, n))
+
+
 def statistics(t20, t50, suffix: str = "tail20") -> list[Column]:
     """Counts of rows, messages, templates and message parts, and their shares.
 
@@ -73,7 +76,7 @@ def statistics(t20, t50, suffix: str = "tail20") -> list[Column]:
     msg20, msg50 = n_distinct(field(t20, "msg_id")), n_distinct(field(t50, "msg_id"))
     tpl20, tpl50 = n_distinct(field(t20, "template_id")), n_distinct(field(t50, "template_id"))
     others = F.filter(t20, lambda row: ~row["msg_lower"].startswith("processor"))
-    parts = [n_distinct(F.transform(field(t20, "msg_lower"), partial(safe_split, n=i))) for i in range(3)]
+    parts = [n_distinct(_parts(field(t20, "msg_lower"), i)) for i in range(3)]
     columns = {
         "cnt": n20, "percent": ratio_or_zero(n20, n50),
         "msg_nunique": msg20, "template_nunique": tpl20,
@@ -257,8 +260,7 @@ def count_above(x: Column, limit: int = HOUR) -> Column:
 
 
 def count_above_mean(x: Column) -> Column:
-    return F.when(F.size(x) > 0, F.get(F.transform(
-        F.array(_mean(x)), lambda mean: F.size(F.filter(x, lambda v: v > mean))), F.lit(0)))
+    return F.when(F.size(x) > 0, let(_mean(x), lambda mean: F.size(F.filter(x, lambda v: v > mean))))
 
 
 def mean_abs_change(x: Column) -> Column:
@@ -302,7 +304,7 @@ def sample_entropy(x: Column, m: int = 2, r: float = 0.2) -> Column:
     def value(tolerance):
         longer, shorter = _close_pairs(x, tolerance, m + 1), _close_pairs(x, tolerance, m)
         return F.when((longer > 0) & (shorter > 0), -F.log(longer / shorter))
-    return F.get(F.transform(F.array(F.lit(r) * _std(x)), value), F.lit(0))
+    return let(F.lit(r) * _std(x), value)
 
 
 def gap_series(gap) -> list[Column]:

@@ -9,6 +9,11 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values) -> Column:
     return F.aggregate(_col(values), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -32,16 +37,15 @@ def euclidean(a, b) -> Column:
 
 
 def _centred(a) -> Column:
-    a = _col(a)
-    mean = total(a) / F.size(a)
-    return F.transform(a, lambda x: x - mean)
+    return let(_col(a), lambda v: let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean)))
 
 
 def pearson(a, b) -> Column:
     """Pearson correlation of the entries; null when one vector is constant."""
-    x, y = _centred(a), _centred(b)
-    size = norm(x) * norm(y)
-    return F.when(size > 0, dot(x, y) / size)
+    def value(pair):
+        size = norm(pair["x"]) * norm(pair["y"])
+        return F.when(size > 0, dot(pair["x"], pair["y"]) / size)
+    return let(F.struct(_centred(a).alias("x"), _centred(b).alias("y")), value)
 
 
 def spread_columns(vector: str, prefix: str, size: int) -> list[Column]:

@@ -5,53 +5,77 @@ Inputs: logs with ``sn, time, time_ts, row_id`` and any payload; moments with
 whole seconds; rows are ordered by ``(time, row_id)``.
 
 No step compares a moment with a server's history. Logs are counted per
-second, counts are summed along the timeline in slots, and a moment's rank
-then names its last rows by equality. A busy server is many slots, and a busy
-second is cut to the rows a tail can reach before it is shuffled, so no group
-grows with the data.
+second, the counts are summed along the time line in slots, and a moment's
+rank then names its last rows by equality. A busy server is many slots, and a
+busy second is cut to the rows a tail can reach before it is shuffled, so no
+group grows with the data.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.scratch import materialise
 from .ranking import last_per_group
 
-SLOT_SECONDS = 3_600
+SLOT_SECONDS = 1 << 19
 MAX_BROADCAST_SERVERS = 500_000
+MAX_BROADCAST_SECONDS = 1_000_000
 
 
-def second_totals(logs: DataFrame, measures: dict | None = None) -> DataFrame:
-    """One row per server and second: row count ``n`` and optional sums."""
-    sums = [expr.alias(name) for name, expr in (measures or {}).items()]
-    return logs.groupBy("sn", "time_ts").agg(F.count(F.lit(1)).alias("n"), *sums)
+def running_totals(logs: DataFrame, probes: DataFrame, measures: dict | None = None,
+                   slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Totals along each server's time line.
 
+    One row for each second that has logs or a probe (``sn, time_ts``):
 
-def running_totals(totals: DataFrame, probes: DataFrame, measures=("n",),
-                   slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """Totals up to and including each second that has logs or a probe.
+    * ``n`` rows in the second, ``is_probe``
+    * ``cum_n`` rows up to and including it, ``all_n`` rows of the server
+    * ``cum_<measure>`` running sum of each extra measure (name to row value)
+    * ``next_pos`` ``cum_n`` at the nearest probe from here on
+    * ``next_log`` nearest second from here on that has logs
 
-    ``probes`` holds ``sn, time_ts``. Adds ``slot``, ``is_probe`` and
-    ``cum_<measure>``; a slot holds at most ``slot_seconds`` rows.
+    A server's time is cut into slots. Rows are counted per second on the map
+    side, a slot holds at most ``slot_seconds`` of these, and only one row per
+    slot is ordered per server.
     """
-    measures = list(measures)
-    marked = probes.select("sn", "time_ts", *[F.lit(0).alias(m) for m in measures],
-                           F.lit(1).alias("is_probe"))
-    points = (totals.select("sn", "time_ts", *measures, F.lit(0).alias("is_probe"))
-              .unionByName(marked)
+    measures = {"n": F.lit(1), **(measures or {})}
+    names = list(measures)
+    points = (logs.select("sn", "time_ts", *[expr.alias(m) for m, expr in measures.items()],
+                          F.lit(0).alias("is_probe"))
+              .unionByName(probes.select("sn", "time_ts", *[F.lit(0).alias(m) for m in names],
+                                         F.lit(1).alias("is_probe")))
               .withColumn("slot", F.floor(F.col("time_ts") / slot_seconds))
+              .filter(F.col("sn").isNotNull() & F.col("slot").isNotNull())
               .groupBy("sn", "slot", "time_ts")
-              .agg(*[F.sum(m).alias(m) for m in measures], F.max("is_probe").alias("is_probe")))
-    earlier = Window.partitionBy("sn").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (points.groupBy("sn", "slot").agg(*[F.sum(m).alias(m) for m in measures])
-              .select("sn", "slot", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_start_{m}")
-                                      for m in measures]))
-    inside = (Window.partitionBy("sn", "slot").orderBy("time_ts")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = points.join(starts, ["sn", "slot"])
-    for m in measures:
-        out = out.withColumn(f"cum_{m}", F.col(f"_start_{m}") + F.sum(m).over(inside))
-    return out.drop(*[f"_start_{m}" for m in measures])
+              .agg(*[F.sum(m).alias(m) for m in names], F.max("is_probe").alias("is_probe")))
+    in_slot = Window.partitionBy("sn", "slot").orderBy("time_ts")
+    so_far = in_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = in_slot.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    points = points.select("*", *[F.sum(m).over(so_far).alias(f"_in_{m}") for m in names])
+    at_probe = F.when(F.col("is_probe") == 1, F.col("_in_n"))
+    with_logs = F.when(F.col("n") > 0, F.col("time_ts"))
+
+    of_server = Window.partitionBy("sn").orderBy("slot")
+    before = of_server.rowsBetween(Window.unboundedPreceding, -1)
+    after = of_server.rowsBetween(1, Window.unboundedFollowing)
+    whole = of_server.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    slots = (points.groupBy("sn", "slot")
+             .agg(*[F.sum(m).alias(f"_sum_{m}") for m in names],
+                  F.min(at_probe).alias("_probe"), F.min(with_logs).alias("_log"))
+             .select("*", *[F.coalesce(F.sum(f"_sum_{m}").over(before), F.lit(0)).alias(f"_start_{m}")
+                            for m in names])
+             .select("sn", "slot", *[f"_start_{m}" for m in names],
+                     F.sum("_sum_n").over(whole).alias("all_n"),
+                     F.min(F.col("_start_n") + F.col("_probe")).over(after).alias("_later_pos"),
+                     F.min("_log").over(after).alias("_later_log")))
+    return (points.select("*", F.min(at_probe).over(onward).alias("_next_in"),
+                          F.min(with_logs).over(onward).alias("_next_log"))
+            .join(slots, ["sn", "slot"])
+            .select("sn", "time_ts", "n", "is_probe", "all_n",
+                    *[(F.col(f"_start_{m}") + F.col(f"_in_{m}")).alias(f"cum_{m}") for m in names],
+                    F.coalesce(F.col("_start_n") + F.col("_next_in"), "_later_pos").alias("next_pos"),
+                    F.coalesce("_next_log", "_later_log").alias("next_log")))
 
 
 def distinct_moments(faults: DataFrame) -> DataFrame:
@@ -72,74 +96,73 @@ def restrict_to_servers(logs: DataFrame, moments: DataFrame) -> DataFrame:
             .filter(F.col("time_ts") <= F.col("_last")).drop("_last"))
 
 
-def moment_positions(logs: DataFrame, moments: DataFrame, n: int,
-                     slot_seconds: int = SLOT_SECONDS):
-    """Ranks on each server's timeline.
-
-    Returns ``(positions, seconds)``: ``positions`` has the number of logs up
-    to each moment (``pos``); ``seconds`` has the last rank of each second
-    that lies in the last ``n`` rows of some moment.
-    """
-    probes = moments.select("sn", F.col("fault_ts").alias("time_ts"))
-    line = running_totals(second_totals(logs), probes, slot_seconds=slot_seconds)
-    positions = (line.filter(F.col("is_probe") == 1)
-                 .select("sn", F.col("time_ts").alias("fault_ts"), F.col("cum_n").alias("pos")))
-    at_probe = F.when(F.col("is_probe") == 1, F.col("cum_n"))
-    later = Window.partitionBy("sn").orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
-    after_slot = (line.groupBy("sn", "slot").agg(F.min(at_probe).alias("_first"))
-                  .select("sn", "slot", F.min("_first").over(later).alias("_after")))
-    onward = (Window.partitionBy("sn", "slot").orderBy("time_ts")
-              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    seconds = (line.withColumn("_next", F.min(at_probe).over(onward))
-               .join(after_slot, ["sn", "slot"])
-               .withColumn("_next", F.coalesce("_next", "_after"))
-               .filter((F.col("n") > 0) & (F.col("_next") - n < F.col("cum_n")))
-               .select("sn", "time_ts", "cum_n"))
-    return positions, seconds
-
-
-def tail_rows(logs: DataFrame, moments: DataFrame, n: int, prefilter: bool = True,
-              slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """The last ``n`` logs of each distinct moment.
-
-    One row per moment and log (one row with null log columns for a moment
-    without logs): ``sn, fault_ts, pos``, the log columns, and ``back`` (1 is
-    the newest).
-    """
-    if prefilter:
-        logs = restrict_to_servers(logs, moments)
-    positions, seconds = moment_positions(logs, moments, n, slot_seconds)
-    newest = last_per_group(logs, ["sn", "time_ts"],
-                            [F.col("time").desc(), F.col("row_id").desc()], n, "_age")
-    ranked = (newest.join(seconds, ["sn", "time_ts"])
-              .withColumn("rn", F.col("cum_n") - F.col("_age") + 1)
-              .drop("_age", "cum_n"))
-    wanted = positions.withColumn(
-        "rn", F.explode_outer(F.when(F.col("pos") > 0, F.sequence(
-            F.greatest(F.col("pos") - (n - 1), F.lit(1)), F.col("pos")))))
-    return (wanted.join(ranked, ["sn", "rn"], "left")
-            .withColumn("back", F.col("pos") - F.col("rn") + 1).drop("rn"))
+def _as_probes(moments: DataFrame) -> DataFrame:
+    return moments.select("sn", F.col("fault_ts").alias("time_ts"))
 
 
 def tail_arrays(logs: DataFrame, faults: DataFrame, n: int = 50, payload=None,
-                prefilter: bool = True, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+                prefilter: bool = True, slot_seconds: int = SLOT_SECONDS,
+                max_broadcast: int = MAX_BROADCAST_SECONDS) -> DataFrame:
     """Faults with their last ``n`` logs as an array, oldest first.
 
     Adds ``pos`` (all logs up to the fault) and ``tail``; every fault is kept
-    and a fault without logs has an empty array. Tails are built once per
-    distinct moment, then attached to the faults that share it.
+    and a fault without logs has an empty array. Two passes over the log:
+
+    1. Narrow: rows per second and their running totals. What is kept is a
+       small table: ``pos`` of each moment, and the seconds that lie within
+       the last ``n`` rows of some moment. It is written to shared storage,
+       so both uses read one result.
+    2. Wide: the rows of these seconds, at most ``n`` each, get their rank on
+       the server's time line and are gathered in blocks of ``n`` ranks, each
+       with the ``n`` ranks before it. A moment then finds its whole tail in
+       the one block that holds ``pos``.
     """
-    moments = distinct_moments(faults)
     payload = [c for c in logs.columns if c != "sn"] if payload is None else list(payload)
     needed = list(dict.fromkeys(["time_ts", "time", "row_id"] + payload))
-    rows = tail_rows(logs.select("sn", *needed), moments, n, prefilter, slot_seconds)
-    entry = F.struct((-F.col("back")).alias("seq"), *needed)
-    tails = (rows.groupBy("sn", "fault_ts")
-             .agg(F.max("pos").alias("pos"),
-                  F.array_sort(F.collect_list(F.when(F.col("row_id").isNotNull(), entry))).alias("tail")))
-    joined = faults.drop("pos", "tail").join(tails, ["sn", "fault_ts"], "left")
-    return (joined.withColumn("pos", F.coalesce("pos", F.lit(0)))
-            .withColumn("tail", F.coalesce("tail", F.array().cast(tails.schema["tail"].dataType))))
+    logs = logs.select("sn", *needed)
+    moments = distinct_moments(faults)
+    if prefilter:
+        logs = restrict_to_servers(logs, moments)
+    near = (F.col("n") > 0) & (F.col("next_pos") - n < F.col("cum_n"))
+    line = materialise(
+        running_totals(logs, _as_probes(moments), slot_seconds=slot_seconds)
+        .select("sn", "time_ts", "cum_n", (F.col("is_probe") == 1).alias("is_probe"),
+                F.coalesce(near, F.lit(False)).alias("near"))
+        .filter(F.col("is_probe") | F.col("near")), "timeline")
+    positions = line.filter("is_probe").select("sn", F.col("time_ts").alias("fault_ts"), F.col("cum_n").alias("pos"))
+    seconds = line.filter("near").select("sn", "time_ts", "cum_n")
+
+    newest_first = [F.col("time").desc(), F.col("row_id").desc()]
+    if seconds.count() <= max_broadcast:
+        rows = last_per_group(logs.join(F.broadcast(seconds), ["sn", "time_ts"]),
+                              ["sn", "time_ts"], newest_first, n, "_age")
+    else:
+        rows = last_per_group(logs, ["sn", "time_ts"], newest_first, n, "_age").join(seconds, ["sn", "time_ts"])
+    rank = F.col("cum_n") - F.col("_age") + 1
+    blocks = (rows.select("sn", rank.alias("rank"), *needed)
+              .withColumn("block", F.explode(F.sequence(F.floor((F.col("rank") - 1) / n),
+                                                        F.floor((F.col("rank") + n - 2) / n))))
+              .groupBy("sn", "block")
+              .agg(F.array_sort(F.collect_list(F.struct("rank", *needed))).alias("rows")))
+    asked = (faults.drop("pos", "tail").join(positions, ["sn", "fault_ts"], "left")
+             .withColumn("pos", F.coalesce("pos", F.lit(0)))
+             .withColumn("block", F.floor((F.col("pos") - 1) / n)))
+    tail = F.filter("rows", lambda row: (row["rank"] <= F.col("pos")) & (row["rank"] > F.col("pos") - n))
+    return (asked.join(blocks, ["sn", "block"], "left")
+            .withColumn("tail", F.coalesce(tail, F.array().cast(blocks.schema["rows"].dataType)))
+            .drop("block", "rows"))
+
+
+def tail_rows(logs: DataFrame, faults: DataFrame, n: int, payload=None, **options) -> DataFrame:
+    """The last ``n`` logs of each fault as rows.
+
+    Adds ``pos``, the log columns and ``back`` (1 is the newest); a fault
+    without logs gives no row.
+    """
+    tails = tail_arrays(logs, faults, n, payload, **options)
+    kept = tails.columns[:-1]
+    return (tails.select(*kept, F.inline("tail"))
+            .withColumn("back", F.col("pos") - F.col("rank") + 1).drop("rank"))
 
 
 def last_n(tail, n: int):
@@ -155,7 +178,8 @@ def window_totals(logs: DataFrame, faults: DataFrame, spans: dict[str, int],
     For each span ``name`` adds ``<name>_n`` and ``<name>_<measure>``, and
     ``pos`` for the total over all earlier logs. Differences of running
     totals, so the cost does not depend on how many logs a window holds.
-    Measures should be integers or decimals if exact zeros matter.
+    ``measures`` maps a name to the value of a row; integers or decimals if
+    exact zeros matter.
     """
     names = ["n", *(measures or {})]
     moments = distinct_moments(faults)
@@ -163,8 +187,7 @@ def window_totals(logs: DataFrame, faults: DataFrame, spans: dict[str, int],
     points = moments.select("sn", "fault_ts", F.explode(F.array(*[
         F.struct(F.lit(name).alias("edge"), (F.col("fault_ts") + shift).alias("time_ts"))
         for name, shift in edges.items()])).alias("p")).select("sn", "fault_ts", "p.edge", "p.time_ts")
-    line = running_totals(second_totals(logs, measures), points.select("sn", "time_ts").distinct(),
-                          names, slot_seconds)
+    line = running_totals(logs, points.select("sn", "time_ts"), measures, slot_seconds)
     found = points.join(line.filter(F.col("is_probe") == 1)
                         .select("sn", "time_ts", *[f"cum_{m}" for m in names]), ["sn", "time_ts"])
 
@@ -188,7 +211,7 @@ def latest_within(events: DataFrame, faults: DataFrame, seconds: int, payload) -
     """The newest event up to the fault if it is at most ``seconds`` old, as
     the struct ``latest`` (null otherwise)."""
     tails = tail_arrays(events, faults, 1, payload)
-    entry = F.get(F.col("tail"), F.lit(0))
+    entry = F.get("tail", F.lit(0))
     return (tails.withColumn("latest", F.when(F.col("fault_ts") - entry["time_ts"] <= seconds, entry))
             .drop("tail", "pos"))
 
@@ -196,23 +219,11 @@ def latest_within(events: DataFrame, faults: DataFrame, seconds: int, payload) -
 def look_ahead(logs: DataFrame, faults: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Logs at or after the fault: ``post_cnt`` and seconds to the first one
     (``post_span``, 0 if there is none)."""
-    moments = distinct_moments(faults)
-    probes = moments.select("sn", F.col("fault_ts").alias("time_ts"))
-    line = running_totals(second_totals(logs), probes, slot_seconds=slot_seconds)
-    has_logs = F.when(F.col("n") > 0, F.col("time_ts"))
-    later = Window.partitionBy("sn").orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
-    earlier_and_later = Window.partitionBy("sn").rowsBetween(Window.unboundedPreceding,
-                                                             Window.unboundedFollowing)
-    by_slot = (line.groupBy("sn", "slot").agg(F.sum("n").alias("_n"), F.min(has_logs).alias("_first"))
-               .select("sn", "slot", F.sum("_n").over(earlier_and_later).alias("_all"),
-                       F.min("_first").over(later).alias("_after")))
-    onward = (Window.partitionBy("sn", "slot").orderBy("time_ts")
-              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = (line.withColumn("_next", F.min(has_logs).over(onward))
-             .join(by_slot, ["sn", "slot"]).filter(F.col("is_probe") == 1)
+    line = running_totals(logs, _as_probes(faults), slot_seconds=slot_seconds)
+    found = (line.filter(F.col("is_probe") == 1)
              .select("sn", F.col("time_ts").alias("fault_ts"),
-                     (F.col("_all") - F.col("cum_n") + F.col("n")).alias("post_cnt"),
-                     (F.coalesce("_next", "_after") - F.col("time_ts")).alias("post_span")))
+                     (F.col("all_n") - F.col("cum_n") + F.col("n")).alias("post_cnt"),
+                     (F.col("next_log") - F.col("time_ts")).alias("post_span")))
     return (faults.join(found, ["sn", "fault_ts"], "left")
             .fillna({"post_cnt": 0, "post_span": 0}))
 

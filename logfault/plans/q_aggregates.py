@@ -9,7 +9,7 @@ from ..functions.clock import day_of_week
 from ..operators import documents as D, profiles as P, relational as R, timeline as TL
 from ..sources import standin
 from .base import query
-from .q_joins import tails
+from .q_joins import plain_tails, tails
 from .q_tables import IMPORTANCE_SQL, fold_importance
 
 
@@ -170,7 +170,7 @@ SELECT f.fault_id, round(avg(gap), 6) AS time_diffs_avg_tail20, max(gap) AS time
        min(gap) AS time_diffs_min_tail20, round(stddev_pop(gap), 6) AS time_diffs_std_tail20
 FROM faults f LEFT JOIN gaps USING (fault_id) GROUP BY f.fault_id""")
 def gap_moments(spark, folder):
-    df = tails(spark, folder, 20).withColumn("gap", TF.gaps("tail"))
+    df = plain_tails(spark, folder, 20).withColumn("gap", TF.gaps("tail"))
     return tidy(df.select("fault_id", *TF.gap_features("gap")))
 
 
@@ -190,7 +190,7 @@ SELECT f.fault_id, round(second_span_skew_tail20, 6) AS second_span_skew_tail20,
   round(time_diffs_kurtosis_tail20, 6) AS time_diffs_kurtosis_tail20
 FROM faults f LEFT JOIN a USING (fault_id) LEFT JOIN b USING (fault_id)""")
 def skew_kurtosis(spark, folder):
-    df = tails(spark, folder, 20).withColumn("gap", TF.gaps("tail")).withColumn("age", TF.ages("tail"))
+    df = plain_tails(spark, folder, 20).withColumn("gap", TF.gaps("tail")).withColumn("age", TF.ages("tail"))
     return tidy(df.select("fault_id", *TF.age_spread("age")[1:], *TF.gap_shape("gap")))
 
 
@@ -203,7 +203,7 @@ _KEYWORDS = ("error", "view", "click", "purchase", "unknown")
     for w in _KEYWORDS]) + """
 FROM (SELECT fault_id, fault_ts AS fault_ts_ FROM faults) f LEFT JOIN t20 USING (fault_id) GROUP BY f.fault_id""")
 def keyword_spans(spark, folder):
-    return tidy(tails(spark, folder, 20).select("fault_id", *TF.keyword_spans("tail", keywords=_KEYWORDS)))
+    return tidy(plain_tails(spark, folder, 20).select("fault_id", *TF.keyword_spans("tail", keywords=_KEYWORDS)))
 
 
 @query("e13_recency_counts", ", ".join(["SELECT f.fault_id"] + [
@@ -355,4 +355,4 @@ SELECT f.fault_id, coalesce(sum(n), 0) AS total_word_cnt, round(avg(n), 6) AS me
   round(avg(c), 6) AS mean_alphabet_cnt_per_sentence, round(sum(c) / sum(n), 6) AS mean_alphabet_cnt_per_word
 FROM faults f LEFT JOIN w USING (fault_id) GROUP BY f.fault_id""")
 def text_measures(spark, folder):
-    return tidy(tails(spark, folder, 20).select("fault_id", *TF.text_measures("tail")))
+    return tidy(plain_tails(spark, folder, 20).select("fault_id", *TF.text_measures("tail")))

@@ -16,8 +16,13 @@ from .q_tables import IMPORTANCE_SQL, fold_importance
 DAY = 86_400
 
 
+def plain_tails(spark, folder, n=20):
+    """Stand-in faults with the times and texts of their last ``n`` logs."""
+    return TL.tail_arrays(standin.logs(spark, folder), standin.faults(spark, folder), n, ["msg_lower"])
+
+
 def tails(spark, folder, n=50, faults=None):
-    """Stand-in faults with their last ``n`` logs."""
+    """The same with message and template ids."""
     return TL.tail_arrays(standin.logs_with_ids(spark, folder),
                           standin.faults(spark, folder) if faults is None else faults, n,
                           ["msg_id", "template_id", "msg_lower", "server_model"])
@@ -46,11 +51,8 @@ def join_aggregates(spark, folder):
 @query("d03_asof_tail", """
 SELECT fault_id, row_id, back, pos FROM t20""")
 def asof_tail(spark, folder):
-    logs = standin.logs(spark, folder).select("sn", "time", "time_ts", "row_id")
-    faults = standin.faults(spark, folder)
-    rows = TL.tail_rows(logs, TL.distinct_moments(faults), 20)
-    return (faults.select("fault_id", "sn", "fault_ts").join(rows, ["sn", "fault_ts"])
-            .filter(F.col("row_id").isNotNull()).select("fault_id", "row_id", "back", "pos"))
+    rows = TL.tail_rows(standin.logs(spark, folder), standin.faults(spark, folder), 20, [])
+    return rows.select("fault_id", "row_id", "back", "pos")
 
 
 @query("d04_bounded_asof", """
@@ -63,7 +65,7 @@ def bounded_asof(spark, folder):
     """Count and text size of the four hours up to the fault, and its last five rows."""
     logs = standin.logs(spark, folder)
     window = TL.window_totals(logs, standin.faults(spark, folder), {"window": 4 * 3600},
-                              {"letters": F.sum(F.length("msg_lower"))})
+                              {"letters": F.length("msg_lower")})
     tail = TL.tail_arrays(logs, window, 5, [])
     recent = F.filter("tail", lambda row: F.col("fault_ts") - row["time_ts"] <= 4 * 3600)
     return tail.select("fault_id", F.col("window_n").alias("n_window"), F.col("window_letters").alias("letters"),

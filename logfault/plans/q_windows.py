@@ -10,7 +10,7 @@ from ..functions.clock import ceil_to_bucket
 from ..sources import standin
 from .base import query
 from .q_aggregates import tidy
-from .q_joins import tails
+from .q_joins import plain_tails, tails
 
 
 @query("f01_last_n", """
@@ -54,7 +54,7 @@ SELECT f.fault_id, max(x.fault_ts - time_ts) AS first_time_span_tail20,
   max(x.fault_ts - time_ts) FILTER (WHERE back = 10) AS second_span10_tail20
 FROM faults f LEFT JOIN t20 x USING (fault_id) GROUP BY f.fault_id""")
 def ages(spark, folder):
-    df = tails(spark, folder, 20).withColumn("age", TF.ages("tail"))
+    df = plain_tails(spark, folder, 20).withColumn("age", TF.ages("tail"))
     return tidy(df.select("fault_id", *TF.age_features("age")[:4]))
 
 
@@ -63,13 +63,13 @@ SELECT f.fault_id, round(avg(x.fault_ts - time_ts), 6) AS second_span_mean_tail2
   round(stddev_pop(x.fault_ts - time_ts), 6) AS second_span_std_tail20
 FROM faults f LEFT JOIN t20 x USING (fault_id) GROUP BY f.fault_id""")
 def age_spread(spark, folder):
-    df = tails(spark, folder, 20).withColumn("age", TF.ages("tail"))
+    df = plain_tails(spark, folder, 20).withColumn("age", TF.ages("tail"))
     return tidy(df.select("fault_id", TF.age_features("age")[4], TF.age_spread("age")[0]))
 
 
 @query("f06_gaps", "SELECT fault_id, back, gap FROM gaps")
 def gaps(spark, folder):
-    df = tails(spark, folder, 20).select("fault_id", F.posexplode(TF.gaps("tail")).alias("i", "gap"),
+    df = plain_tails(spark, folder, 20).select("fault_id", F.posexplode(TF.gaps("tail")).alias("i", "gap"),
                                          F.size("tail").alias("n"))
     return df.select("fault_id", (F.col("n") - 1 - F.col("i")).cast("bigint").alias("back"), "gap")
 
@@ -80,7 +80,7 @@ SELECT f.fault_id, max(time_ts) - min(time_ts) AS max_time_diff_tail20,
     AS max_time_diff_div_first_time_span_tail20
 FROM faults f LEFT JOIN t20 x USING (fault_id) GROUP BY f.fault_id""")
 def span(spark, folder):
-    df = tails(spark, folder, 20).withColumn("age", TF.ages("tail"))
+    df = plain_tails(spark, folder, 20).withColumn("age", TF.ages("tail"))
     return tidy(df.select("fault_id", *TF.span_features("age")))
 
 
@@ -95,7 +95,7 @@ best AS (SELECT fault_id, max(n) AS n FROM runs GROUP BY fault_id)
 
 
 def _coded(spark, folder):
-    df = tails(spark, folder, 20)
+    df = plain_tails(spark, folder, 20)
     return df.withColumn("tail", F.transform("tail", lambda row: F.struct(
         F.ascii(row["msg_lower"]).cast("bigint").alias("msg_id"))))
 
@@ -133,14 +133,14 @@ SELECT f.fault_id, min(x.fault_ts - time_ts) AS span FROM faults f JOIN t20 x US
 WHERE f.sn <> '7' GROUP BY f.fault_id HAVING min(x.fault_ts - time_ts) < 10000
   AND arg_min(msg_lower, back) LIKE 'error%'""")
 def filters(spark, folder):
-    df = tails(spark, folder, 1).filter(F.col("sn") != "7")
+    df = plain_tails(spark, folder, 1).filter(F.col("sn") != "7")
     last = F.get(F.col("tail"), F.lit(0))
     return (df.select("fault_id", (F.col("fault_ts") - last["time_ts"]).alias("span"), last["msg_lower"].alias("m"))
             .filter((F.col("span") < 10000) & F.col("m").startswith("error")).select("fault_id", "span"))
 
 
 def _series(spark, folder, *columns):
-    df = tails(spark, folder, 20).withColumn("gap", TF.gaps("tail"))
+    df = plain_tails(spark, folder, 20).withColumn("gap", TF.gaps("tail"))
     return tidy(df.select("fault_id", *columns))
 
 

@@ -27,7 +27,7 @@ def events(spark, folder) -> DataFrame:
     return raw.select(
         F.col("event_id"), F.col("user_id"), F.col("user_id").cast("string").alias("sn"),
         F.col("ts").cast("timestamp").alias("time"), "event_type", "value",
-        (F.get_json_object("props", "$.k").cast("int") % 10).alias("k"),
+        (F.translate("props", '{"k": }', "").cast("int") % 10).alias("k"),
     ).withColumn("time_ts", epoch_seconds("time"))
 
 
@@ -47,7 +47,7 @@ def logs_with_ids(spark, folder) -> DataFrame:
         ids.select("template", F.col("first_row").alias("row_id")), "template", "template_id", first=1)
     numbered = (ids.join(templates.select("template", "template_id"), "template")
                 .withColumn("template_id", F.col("template_id").cast("string")))
-    return lookup(log, numbered, "msg_lower", ["msg_id", "template_id", "template"], weight="n_rows")
+    return lookup(log, numbered, "msg_lower", ["msg_id", "template_id", "template"])
 
 
 def _faults(spark, folder, kind) -> DataFrame:
