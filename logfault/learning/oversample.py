@@ -55,16 +55,17 @@ def neighbours(df: DataFrame, numeric: list[str], text: list[str], k: int = NEIG
     sides = _block_pairs(rows, sizes)
     asking = sides.select("label", F.col("block").alias("one"), F.col("other").cast("bigint").alias("two"),
                           "key", "numbers", "texts")
-    answering = sides.select("label", F.col("other").cast("bigint").alias("one"), F.col("block").alias("two"),
-                             "key", "numbers", "texts")
+    answering = sides.select(F.col("label").alias("label2"), F.col("other").cast("bigint").alias("one2"),
+                             F.col("block").alias("two2"), F.col("key").alias("key2"),
+                             F.col("numbers").alias("numbers2"), F.col("texts").alias("texts2"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"key": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"),
                                  "distance": pd.Series(dtype="float64")})
-        return _nearest(left, right, k, penalty)
+        return _nearest(left, right.rename(columns=lambda c: c.removesuffix("2")), k, penalty)
 
-    pairs = (asking.groupBy("label", "one", "two").cogroup(answering.groupBy("label", "one", "two"))
+    pairs = (asking.groupBy("label", "one", "two").cogroup(answering.groupBy("label2", "one2", "two2"))
              .applyInPandas(compare, "key bigint, near bigint, distance double"))
     return last_per_group(pairs, ["key"], [F.col("distance"), F.col("near")], k, "rank")
 

@@ -9,13 +9,17 @@ driver.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.measures import stage_one_label, two_stage_label
+from ..sources.readers import union_all
+from ..sources.scratch import materialise
 from .weights import attach_weights
 
 MAX_CATEGORIES = 1_000
@@ -150,26 +154,28 @@ def decide(scored: DataFrame, out: str = "guess") -> DataFrame:
 
 
 def cross_train(train: DataFrame, test: DataFrame | None, settings: Settings, keys: list[str],
-                n_folds: int = 10, fold: str = "fold"):
-    """Train one two-stage model per fold.
+                n_folds: int = 10, fold: str = "fold", parallelism: int = 4):
+    """Train one two-stage model per fold, ``parallelism`` of them at a time.
 
     Returns ``(out_of_fold, test_mean, importance)``: each training row scored
     by the model that did not see it; test rows with fold-averaged
     probabilities (None without ``test``); ``(fold, stage, feature,
     importance)`` rows.
     """
-    train = train.cache()
-    test = test.cache() if test is not None else None
-    held, tests, importance = None, None, []
-    for i in range(n_folds):
+    train = materialise(train, "train")
+    test = materialise(test, "test") if test is not None else None
+
+    def run(i):
         model = TwoStageModel(train.withColumn("held_out", F.col(fold) == i), settings)
         mine = model.score(train.filter(F.col(fold) == i)).select(*keys, "label", fold, "p1", "p2")
-        held = mine if held is None else held.unionByName(mine)
-        importance += [(i, 1, n, v) for n, v in model.importances()]
-        importance += [(i, 2, n, v) for n, v in model.importances(2)]
-        if test is not None:
-            scored = model.score(test).select(*keys, "p1", "p2")
-            tests = scored if tests is None else tests.unionByName(scored)
+        scored = model.score(test).select(*keys, "p1", "p2") if test is not None else None
+        return mine, scored, [(i, stage, n, v) for stage in (1, 2) for n, v in model.importances(stage)]
+
+    with ThreadPool(min(parallelism, n_folds)) as pool:
+        results = pool.map(inheritable_thread_target(train.sparkSession)(run), range(n_folds))
+    held = union_all([mine for mine, _, _ in results])
+    tests = union_all([scored for _, scored, _ in results]) if test is not None else None
+    importance = [row for _, _, rows in results for row in rows]
     table = train.sparkSession.createDataFrame(
         importance, "fold int, stage int, feature string, importance double")
     return decide(held), (average_probabilities(tests, keys) if tests is not None else None), table

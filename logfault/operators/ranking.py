@@ -24,15 +24,15 @@ def sliced_rank(df: DataFrame, keys: list[str], slice_cols: dict[str, Column],
     for name, expr in slice_cols.items():
         df = df.withColumn(name, expr)
     parts = list(slice_cols)
-    sizes = df.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = df.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_slice_size"))
     before = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, *parts,
-                          F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+                          F.coalesce(F.sum("_slice_size").over(before), F.lit(0)).alias("_slice_start"))
     inside = Window.partitionBy(*keys, *parts).orderBy(*order)
-    return (df.withColumn("_rank", F.row_number().over(inside))
+    return (df.withColumn("_in_slice", F.row_number().over(inside))
             .join(starts, keys + parts)
-            .withColumn(out, F.col("_start") + F.col("_rank"))
-            .drop("_start", "_rank", *parts))
+            .withColumn(out, F.col("_slice_start") + F.col("_in_slice"))
+            .drop("_slice_start", "_in_slice", *parts))
 
 
 def last_per_group(df: DataFrame, keys: list[str], order: list, n: int,

@@ -9,6 +9,7 @@ from ..functions.measures import two_stage_label
 from ..learning import folds as FO, metrics as ME, oversample as OS, two_stage as TS, weights as W
 from ..operators import relational as R, timeline as TL
 from ..sources import standin
+from ..sources.scratch import materialise
 from .base import query
 from .q_aggregates import model_faults, tidy
 from .q_joins import tails
@@ -67,14 +68,16 @@ def learning_table(spark, folder, test=False):
     df = (df.withColumn("t20", TL.last_n("tail", 20)).withColumn("age", TF.ages("t20"))
           .withColumn("gap", TF.gaps("t20")))
     first = F.get(F.col("t20"), F.lit(0))
-    return df.select(
+    return materialise(df.select(
         "fault_id", "sn", "label", F.coalesce(first["server_model"], F.lit("MISSING")).alias("server_model"),
         *TF.statistics("t20", "tail"), *TF.age_features("age"), *TF.gap_features("gap"), *TF.last_ids("t20"),
-        *TF.top_values("t20", "template_id", "tmp", numeric=False), *TF.last_template_frequency("t20"))
+        *TF.top_values("t20", "template_id", "tmp", numeric=False), *TF.last_template_frequency("t20")),
+        "features")
 
 
 def _one_fold(spark, folder, settings, fold=0):
-    train = FO.stratified_folds(learning_table(spark, folder), "label", "fault_id", 10).cache()
+    train = FO.stratified_folds(learning_table(spark, folder), "label", "fault_id", 10)
+    train = materialise(train, "train")
     model = TS.TwoStageModel(train.withColumn("held_out", F.col("fold") == fold), settings)
     return model, train.filter(F.col("fold") == fold)
 
@@ -180,7 +183,7 @@ def oversample(spark, folder):
     table = learning_table(spark, folder).filter((F.col("label") == 0) | (F.col("fault_id") % 3 == 0))
     numeric = ["cnt_tail20", "second_span_mean_tail20", "time_diffs_avg_tail20"]
     table = table.select(F.col("fault_id").alias("key"), "label", "server_model", "tmp_appearance_1",
-                         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric]).cache()
+                         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric])
     return OS.oversample(table, numeric, ["server_model", "tmp_appearance_1"])
 
 
