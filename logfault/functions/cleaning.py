@@ -196,7 +196,7 @@ def value_counts(values: Column) -> Column:
     runs.
     """
     return F.transform(
-        F.array(F.array_sort(values)),
+        F.array(F.sort_array(values)),
         lambda a: F.transform(
             F.array(F.filter(F.sequence(F.lit(0), F.size(a)),
                              lambda i: (i < F.size(a)) & ((i == 0) | (F.get(a, i) != F.get(a, i - 1))))),

@@ -158,10 +158,10 @@ def top_values(tail, name: str, prefix: str, k: int = 3, numeric: bool = True) -
     """
     tail = _col(tail)
     values = field(tail, name)
-    counted = F.reverse(F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct(
+    counted = F.sort_array(F.transform(F.array_distinct(values), lambda v: F.struct(
         F.size(F.filter(values, lambda x: x == v)).alias("n"),
         (v if numeric else v.try_cast("bigint")).alias("order"),
-        v.cast("string").alias("value")))))
+        v.cast("string").alias("value"))), asc=False)
     out = []
     for i in range(k):
         entry = F.get(counted, F.lit(i))

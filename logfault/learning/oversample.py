@@ -91,11 +91,11 @@ def oversample(df: DataFrame, numeric: list[str], text: list[str], k: int = NEIG
 
     def majority(name):
         values = F.transform("_near", lambda r: r[name])
-        counted = F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct(
+        counted = F.sort_array(F.transform(F.array_distinct(values), lambda v: F.struct(
             (-F.size(F.filter(values, lambda x: x.eqNullSafe(v)))).alias("n"), v.alias("v"))))
         return F.get(counted, F.lit(0))["v"]
 
-    around = votes.groupBy("key").agg(F.array_sort(F.collect_list(
+    around = votes.groupBy("key").agg(F.sort_array(F.collect_list(
         F.struct("rank", *numeric, *text))).alias("_near"))
     seeded = (ranked.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))))
               .join(around, "key"))

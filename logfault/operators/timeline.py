@@ -143,7 +143,7 @@ def tail_arrays(logs: DataFrame, faults: DataFrame, n: int = 50, payload=None,
               .withColumn("block", F.explode(F.sequence(F.floor((F.col("rank") - 1) / n),
                                                         F.floor((F.col("rank") + n - 2) / n))))
               .groupBy("sn", "block")
-              .agg(F.array_sort(F.collect_list(F.struct("rank", *needed))).alias("rows")))
+              .agg(F.sort_array(F.collect_list(F.struct("rank", *needed))).alias("rows")))
     asked = (faults.drop("pos", "tail").join(positions, ["sn", "fault_ts"], "left")
              .withColumn("pos", F.coalesce("pos", F.lit(0)))
              .withColumn("block", F.floor((F.col("pos") - 1) / n)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C, clock, measures as M
 from ..sources import standin
+from ..sources.readers import spread_scan
 from .base import query
 
 _SCORES = """
@@ -43,7 +44,7 @@ RAW_ENDS = ("", " | Upper_Limit", " | Upper | Reading 80", " | Upper | Asserted
 
 def raw_messages(spark, folder):
     i = F.col("row_id")
-    return standin.logs(spark, folder).select("row_id", F.concat(
+    return spread_scan(standin.logs(spark, folder)).select("row_id", F.concat(
         F.get(F.array(*[F.lit(h) for h in RAW_HEADS]), (i % len(RAW_HEADS)).cast("int")),
         F.get(F.array(*[F.lit(e) for e in RAW_ENDS]), (F.floor(i / len(RAW_HEADS)) % len(RAW_ENDS)).cast("int")))
         .alias("msg"))
@@ -97,7 +98,7 @@ def mask(spark, folder):
         F.lpad((i % 10000).cast("string"), 4, "0"), F.lit(" ABCD 0011 EF01; reg 0x"), F.lower(F.hex(i)),
         F.lit(" n -"), i.cast("string"), F.lit(" x"), (i % 10).cast("string"),
         F.lit(' executed cmd "run '), i.cast("string"), F.lit('"'))
-    return standin.logs(spark, folder).select("row_id", C.mask(message).alias("masked"))
+    return spread_scan(standin.logs(spark, folder)).select("row_id", C.mask(message).alias("masked"))
 
 
 @query("c04_safe_split", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C, vectors as V
 from ..operators import documents as D, embeddings as E, factors as X, templates as T
 from ..sources import standin
+from ..sources.readers import spread_scan
 from .base import query
 from .q_aggregates import model_faults
 from .q_joins import plain_tails
@@ -65,7 +66,7 @@ uni AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS te
 
 
 def documents(spark, folder):
-    return standin.table(spark, folder, "documents").select("doc_id", "text")
+    return spread_scan(standin.table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def document_vocabulary(spark, folder):

@@ -93,3 +93,14 @@ def add_arrival_order(df: DataFrame, name: str = "row_id") -> DataFrame:
     orderings in this library need.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    For costly per-row work on few or small files. A scan that already fills
+    the cluster is returned as it is, so large inputs are never shuffled.
+    Call it on a plain scan, before any join or aggregate.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
