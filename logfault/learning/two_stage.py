@@ -47,12 +47,14 @@ class Settings:
 class Encoder:
     """Numbers for the learner: category indices by frequency, nulls as -1.
 
-    A column with more than ``MAX_CATEGORIES`` values is used as an ordered
-    number (its frequency rank) instead of a set, which trees can still split.
+    A column with more than ``limit`` values is used as an ordered number (its
+    frequency rank) instead of a set, which trees can still split. Trees also
+    need more rows than a set has values.
     """
 
-    def __init__(self, train: DataFrame, settings: Settings):
+    def __init__(self, train: DataFrame, settings: Settings, limit: int = MAX_CATEGORIES):
         self.settings = settings
+        self.limit = limit
         columns = settings.categorical
         self.model = None
         self.sizes = []
@@ -64,14 +66,14 @@ class Encoder:
 
     @property
     def max_bins(self) -> int:
-        return max([32] + [s + 1 for s in self.sizes if s <= MAX_CATEGORIES])
+        return max([32] + [s + 1 for s in self.sizes if s <= self.limit])
 
     def transform(self, df: DataFrame, extra=(), out: str = "features") -> DataFrame:
         s = self.settings
         df = df.fillna("MISSING", s.categorical) if s.categorical else df
         if self.model is not None:
             df = self.model.transform(df)
-        wide = [f"_i_{c}" for c, n in zip(s.categorical, self.sizes) if n > MAX_CATEGORIES]
+        wide = [f"_i_{c}" for c, n in zip(s.categorical, self.sizes) if n > self.limit]
         for name in wide:
             df = df.withColumn(name, F.col(name).alias(name, metadata={}))
         numbers = [*s.numeric, *extra]
@@ -113,7 +115,8 @@ class TwoStageModel:
     def __init__(self, train: DataFrame, settings: Settings):
         self.settings = settings
         seen = train.filter(~F.col("held_out"))
-        self.encoder = Encoder(seen, settings)
+        fewest = seen.filter(F.col("label") <= 1).count()
+        self.encoder = Encoder(seen, settings, min(MAX_CATEGORIES, fewest - 2))
         encoded = self.encoder.transform(seen).withColumn("y", stage_one_label("label").cast("double"))
         self.one = first_learner(settings, self.encoder.max_bins).fit(attach_weights(encoded, "y"))
         cpu = self._with_first(train.filter(F.col("label") <= 1)).withColumn("y", F.col("label").cast("double"))

@@ -46,7 +46,7 @@ def last_per_group(df: DataFrame, keys: list[str], order: list, n: int,
     return df.withColumn(out, rank).filter(F.col(out) <= n)
 
 
-ID_BLOCK = 1 << 20
+ID_BITS = 20
 
 
 def ids_by_first_appearance(df: DataFrame, value: str, out: str, first: int = 0,
@@ -57,7 +57,7 @@ def ids_by_first_appearance(df: DataFrame, value: str, out: str, first: int = 0,
     """
     seen = df.groupBy(value).agg(F.min(row_id).alias("first_row"),
                                  F.count(F.lit(1)).alias("n_rows"))
-    ranked = sliced_rank(seen, [], {"_block": F.floor(F.col("first_row") / ID_BLOCK)},
+    ranked = sliced_rank(seen, [], {"_block": F.shiftright("first_row", ID_BITS)},
                          [F.col("first_row")], out)
     return ranked.withColumn(out, F.col(out) - 1 + first)
 

@@ -162,7 +162,7 @@ def _number(mined: DataFrame, known: DataFrame | None) -> DataFrame:
     if known is not None:
         start = known.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
     fresh = sliced_rank(mined.filter(F.col("known_id").isNull()), [],
-                        {"_block": F.floor(F.col("first_row") / (1 << 20))},
+                        {"_block": F.shiftright("first_row", 20)},
                         [F.col("first_row"), F.array_join("tokens", " ")], "template_id")
     fresh = fresh.withColumn("template_id", F.col("template_id") + start)
     kept = mined.filter(F.col("known_id").isNotNull()).withColumn("template_id", F.col("known_id"))
