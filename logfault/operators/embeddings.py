@@ -80,8 +80,7 @@ def tfidf_mean_vectors(df: DataFrame, keys: list[str], tokens: Column, text: Col
                          F.map_from_entries(value_counts(vectoriser_tokens(text))).alias("_tf"))
                .select(*keys, "_tf", F.explode(value_counts(F.col("_words"))).alias("t"))
                .select(*keys, F.col("t.value").alias("word"), F.col("t.n").alias("n"),
-                       F.get(F.map_values(F.map_filter("_tf", lambda k, v: k == F.col("t.value"))), F.lit(0))
-                       .alias("tf"))
+                       F.try_element_at("_tf", F.col("t.value")).alias("tf"))
                .filter(F.col("tf").isNotNull()))
     weighted = (counted.join(vocab.select(F.col("term").alias("word"), "idf"), "word")
                 .join(vectors, "word")

@@ -45,3 +45,16 @@ def test_svd_and_vectors(spark, small):
     again = X.count_vectors(counts, vocab, ["doc_id"])
     _, same = X.fit_svd(again, vocab, 4)
     assert all(abs(a - b) < 1e-6 for a, b in zip(singular, same))
+
+
+def test_vocabulary_cut(spark):
+    from logfault.operators import documents as D
+    rows = [(d, f"t{i:02d}", 1 + i % 4) for i in range(40) for d in range(1 + i % 3)]
+    counts = spark.createDataFrame(rows, "doc int, term string, tf bigint")
+    totals = {}
+    for _, term, tf in rows:
+        totals[term] = totals.get(term, 0) + tf
+    for keep in (1, 7, 20, 100):
+        want = sorted(totals, key=lambda t: (-totals[t], t))[:keep]
+        got = [r["term"] for r in D.vocabulary(counts, 3, 1, keep).collect()]
+        assert sorted(got) == sorted(want)
