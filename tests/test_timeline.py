@@ -12,7 +12,7 @@ START = 1_700_000_000
 def _logs(spark, rows):
     """rows: (sn, second offset, micros, row_id)"""
     df = spark.createDataFrame(rows, "sn string, s int, us int, row_id bigint")
-    return df.select("sn", F.timestamp_micros((F.lit(START) + F.col("s")) * 1_000_000 + F.col("us")).alias("time"),
+    return df.select("sn", F.timestamp_micros((F.lit(START).cast("bigint") + F.col("s")) * 1_000_000 + F.col("us")).alias("time"),
                      (F.lit(START).cast("bigint") + F.col("s")).alias("time_ts"), "row_id")
 
 
