@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
 
 QUERIES: dict = {}
@@ -19,3 +20,9 @@ def query(fn):
 @query
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), keep_first=False).drop("kept")
+
+
+@query
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", hex_of("point").alias("fingerprint"), "component_id")
