@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
+from .toxicity import scored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +18,11 @@ def query(fn):
     return fn
 
 
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), keep_first=False).drop("kept")
