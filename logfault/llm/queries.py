@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .secrets import RULES, secrets, spans_string
 from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
 from .toxicity import scored
@@ -18,6 +20,15 @@ def query(fn):
     return fn
 
 
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = secrets(table(spark, folder, "documents"))
+    of = {r.kind: F.size(F.filter("spans", lambda s, kind=r.kind: s["kind"] == kind)).cast("long") for r in RULES}
+    text = spans_string(F.col("spans"))
+    return found.select("doc_id", *(of[k].alias(f"n_{k}") for k in of), F.sha2(text, 256).alias("base_sha256"),
+                        text.alias("spans"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
