@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack
 from .secrets import RULES, secrets, spans_string
 from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
 from .toxicity import scored
 
+#: Vocabulary files, on every machine of the cluster.
+ID_VOCABULARY, RANK_VOCABULARY = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -29,6 +33,16 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         text.alias("spans"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), vocabulary(ID_VOCABULARY))
+
+
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
