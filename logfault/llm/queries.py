@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encoded
 from .common import table
 from .packing import pack
 from .secrets import RULES, secrets, spans_string
@@ -24,6 +25,16 @@ def query(fn):
     return fn
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(table(spark, folder, "documents"), vocabulary(RANK_VOCABULARY), keep_ids=False).drop("ids")
+
+
 @query
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = secrets(table(spark, folder, "documents"))
@@ -33,11 +44,6 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         text.alias("spans"))
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
 @query
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary(ID_VOCABULARY))
