@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoded
@@ -35,12 +35,16 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"), vocabulary(RANK_VOCABULARY), keep_ids=False).drop("ids")
 
 
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @query
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = secrets(table(spark, folder, "documents"))
-    of = {r.kind: F.size(F.filter("spans", lambda s, kind=r.kind: s["kind"] == kind)).cast("long") for r in RULES}
     text = spans_string(F.col("spans"))
-    return found.select("doc_id", *(of[k].alias(f"n_{k}") for k in of), F.sha2(text, 256).alias("base_sha256"),
+    counts = [_count("spans", r.kind) for r in RULES]
+    return found.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"),
                         text.alias("spans"))
 
 
