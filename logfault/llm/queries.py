@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encoded
 from .common import table
 from .packing import pack
+from .quality import judged
 from .secrets import RULES, secrets, spans_string
 from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
@@ -53,6 +54,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary(ID_VOCABULARY))
 
 
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(table(spark, folder, "documents"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
