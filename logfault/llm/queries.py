@@ -13,6 +13,7 @@ from .secrets import RULES, secrets, spans_string
 from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
 from .toxicity import scored
+from .winnowing import compared, digest
 
 #: Vocabulary files, on every machine of the cluster.
 ID_VOCABULARY, RANK_VOCABULARY = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -31,6 +32,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = compared(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", digest(F.col("print")).alias("fingerprint"),
+                        digest(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"), vocabulary(RANK_VOCABULARY), keep_ids=False).drop("ids")
