@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encoded
 from .common import table
 from .packing import pack
+from .personal_data import fit, personal_data
 from .quality import judged
 from .secrets import RULES, secrets, spans_string
 from .simhash import hex_of, near_groups
@@ -39,6 +40,13 @@ def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
                         digest(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+@query
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = personal_data(docs, fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"), vocabulary(RANK_VOCABULARY), keep_ids=False).drop("ids")
