@@ -14,6 +14,7 @@ from .secrets import RULES, secrets, spans_string
 from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
 from .toxicity import scored
+from .warc import round_trip
 from .winnowing import compared, digest
 
 #: Vocabulary files, on every machine of the cluster.
@@ -33,6 +34,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(table(spark, folder, "pages"))
+
+
 @query
 def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     found = compared(table(spark, folder, "documents"))
