@@ -2,16 +2,18 @@
 
 Messages are masked and collapsed to distinct ones first, which removes most
 of the volume. Distinct messages are routed by token count and leading
-token; clustering inside a route is order-dependent, so it runs as one pandas
-group per route, all routes in parallel. Routes with too many distinct
-messages are first reduced in chunks of bounded size. Everything else is
-joins and aggregates.
+tokens. Clustering inside a route is order-dependent, so a route is a stream
+of its messages by first row through one task, all routes in parallel. A task
+holds only the templates of one route, never its messages; the rule is the
+same at every size. Everything else is joins and aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.cleaning import WILDCARD, mask, words
@@ -22,8 +24,7 @@ from .ranking import sliced_rank
 SIMILARITY = 0.4
 EXTRA_DELIMITERS = "_"
 MAX_SHAPES = 10_000
-CHUNK = 20_000
-MAX_DEPTH = 8
+PREFIX_DEPTH = 1
 
 _MINED = "tokens array<string>, size bigint, first_row bigint, known_id bigint"
 
@@ -46,53 +47,68 @@ def _route(tokens, depth: int):
     return F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(head, " "))
 
 
-def _cluster(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Clusters of one group of equally long token lists, in row order.
+class _Route:
+    """The templates of one route, grown message by message.
 
-    Known templates come first and start their own cluster. A message joins
-    the cluster with the most equal tokens if that share reaches the limit
-    (ties: more wildcards, then the older cluster); differing positions
-    become wildcards.
+    A known template starts its own cluster. A message joins the cluster with
+    the most equal tokens if that share reaches the limit (ties: more
+    wildcards, then the older cluster); differing positions become wildcards.
+    Tokens are compared by their hash, 0 is the wildcard.
     """
-    rows = rows.sort_values(["known_id", "first_row"], na_position="last")
-    length = len(rows["tokens"].iloc[0])
-    codes: dict[str, int] = {WILDCARD: 0}
-    encoded = np.array([[codes.setdefault(t, len(codes)) for t in tokens] for tokens in rows["tokens"]],
-                       dtype=np.int64).reshape(len(rows), length)
-    names = list(codes)
-    found = np.empty((len(rows), length), dtype=np.int64)
-    sizes, firsts, known = [], [], []
-    count = 0
-    for i, (size, first, known_id) in enumerate(zip(rows["size"], rows["first_row"], rows["known_id"])):
-        message = encoded[i]
-        best = -1
-        if count and pd.isna(known_id):
-            live = found[:count]
-            equal = ((live == message) & (live != 0)).sum(axis=1)
+
+    def __init__(self, length: int, similarity: float) -> None:
+        self.least = similarity * length
+        self.codes = np.empty((8, length), np.int64)
+        self.tokens: list[list[str]] = []
+        self.sizes: list[int] = []
+        self.firsts: list[int] = []
+        self.known: list[int | None] = []
+
+    def add(self, tokens: list[str], codes: np.ndarray, size: int, first: int, known: int | None) -> None:
+        count = len(self.tokens)
+        if count and known is None:
+            live = self.codes[:count]
+            equal = ((live == codes) & (live != 0)).sum(axis=1)
             top = equal.max()
-            if top >= similarity * length:
+            if top >= self.least:
                 ties = np.flatnonzero(equal == top)
                 best = ties[np.argmax((live[ties] == 0).sum(axis=1))]
-        if best < 0:
-            found[count] = message
-            sizes.append(size)
-            firsts.append(first)
-            known.append(known_id)
-            count += 1
-        else:
-            found[best] = np.where(found[best] == message, message, 0)
-            sizes[best] += size
-            firsts[best] = min(firsts[best], first)
-    return pd.DataFrame({
-        "tokens": [[names[c] for c in row] for row in found[:count]],
-        "size": sizes, "first_row": firsts,
-        "known_id": pd.array([None if pd.isna(k) else int(k) for k in known], dtype="Int64")})
-
-
-def _cluster_groups(items: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _cluster(rows, similarity)
-    return items.groupBy(*keys).applyInPandas(run, _MINED)
+                differ = live[best] != codes
+                live[best][differ] = 0
+                for i in np.flatnonzero(differ).tolist():
+                    self.tokens[best][i] = WILDCARD
+                self.sizes[best] += size
+                self.firsts[best] = min(self.firsts[best], first)
+                return
+        if count == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
+        self.codes[count] = codes
+        self.tokens.append(list(tokens))
+        self.sizes.append(size)
+        self.firsts.append(first)
+        self.known.append(known)
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.tokens, pa.list_(pa.string())), pa.array(self.sizes, pa.int64()),
+             pa.array(self.firsts, pa.int64()), pa.array(self.known, pa.int64())],
+            names=["tokens", "size", "first_row", "known_id"])
+
+
+def _cluster_stream(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, route = None, None
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("route", "tokens", "codes", "size", "first_row", "known_id")]
+            for name, tokens, codes, size, first, known in zip(*columns):
+                if name != current:
+                    if route is not None:
+                        yield route.rows()
+                    current, route = name, _Route(len(tokens), similarity)
+                route.add(tokens, np.array(codes, np.int64), size, first, known)
+        if route is not None:
+            yield route.rows()
+    return run
 
 
 def _merge_equal(items: DataFrame) -> DataFrame:
@@ -101,57 +117,29 @@ def _merge_equal(items: DataFrame) -> DataFrame:
                  F.min("known_id").alias("known_id")))
 
 
-def _reduce_hot_routes(items: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """Until every route has at most ``chunk`` rows: cluster the larger routes
-    in hashed chunks; where that stops helping, route by one more token.
-
-    Only the size of the largest route comes to the driver.
-    """
-    depth = 1
-    items = items.withColumn("route", _route(F.col("tokens"), depth)).withColumn("part", F.lit(0).cast("bigint"))
-    while True:
-        sizes = items.groupBy("route").agg(F.count(F.lit(1)).alias("_n"))
-        hot = sizes.filter(F.col("_n") > chunk)
-        before = hot.agg(F.sum("_n")).first()[0]
-        if before is None:
-            return items
-        marked = items.join(hot, "route", "left")
-        parts = F.ceil(F.col("_n") / chunk)
-        split = (marked.filter(F.col("_n").isNotNull())
-                 .withColumn("part", F.pmod(F.xxhash64("tokens"), parts)))
-        smaller = _merge_equal(_cluster_groups(split.select("route", "part", "tokens", "size", "first_row",
-                                                            "known_id"), ["route", "part"], similarity))
-        smaller = materialise(smaller, "templates")
-        after = smaller.count()
-        rest = marked.filter(F.col("_n").isNull()).drop("_n")
-        if after > 0.9 * before:
-            depth += 1
-            if depth > MAX_DEPTH:
-                return rest.unionByName(split.drop("_n").select(*rest.columns))
-        smaller = smaller.withColumn("route", _route(F.col("tokens"), depth)) \
-            .withColumn("part", F.lit(0).cast("bigint"))
-        items = rest.unionByName(smaller.select(*rest.columns))
-
-
 def mine_templates(logs: DataFrame, msg: str = "msg_lower", known: DataFrame | None = None,
-                   similarity: float = SIMILARITY, chunk: int = CHUNK,
+                   similarity: float = SIMILARITY, prefix_depth: int = PREFIX_DEPTH,
                    max_clusters: int | None = None) -> DataFrame:
     """Template dictionary of a log.
 
     Columns ``template_id`` (by first row, from 1), ``template``, ``tokens``,
     ``n_tokens``, ``first_token``, ``size``, ``first_row``. ``known`` is an
     earlier dictionary: its templates keep their ids and go on growing.
-    ``max_clusters`` keeps only the largest ones.
+    Messages are compared with templates of equal length that share their
+    leading ``prefix_depth`` tokens; a larger depth gives more, narrower
+    routes. ``max_clusters`` keeps only the largest templates.
     """
     items = (masked_messages(logs, msg).groupBy("tokens")
              .agg(F.sum("n_rows").alias("size"), F.min("first_row").alias("first_row"))
              .withColumn("known_id", F.lit(None).cast("bigint")))
-    routed = _reduce_hot_routes(items, similarity, chunk)
     if known is not None:
-        seeds = (known.select("tokens", "size", "first_row", F.col("template_id").alias("known_id"))
-                 .withColumn("route", _route(F.col("tokens"), 1)).withColumn("part", F.lit(0).cast("bigint")))
-        routed = routed.unionByName(seeds.select(*routed.columns))
-    mined = _merge_equal(_cluster_groups(routed, ["route", "part"], similarity))
+        items = items.unionByName(known.select("tokens", "size", "first_row", F.col("template_id").alias("known_id")))
+    codes = F.transform("tokens", lambda t: F.when(t == WILDCARD, F.lit(0).cast("bigint")).otherwise(F.xxhash64(t)))
+    routed = (items.withColumn("route", _route(F.col("tokens"), prefix_depth)).withColumn("codes", codes)
+              .repartition("route")
+              .sortWithinPartitions("route", F.col("known_id").asc_nulls_last(), "first_row", "tokens")
+              .select("route", "tokens", "codes", "size", "first_row", "known_id"))
+    mined = _merge_equal(routed.mapInArrow(_cluster_stream(similarity), _MINED))
     if max_clusters is not None:
         mined = mined.orderBy(F.col("size").desc(), "first_row").limit(max_clusters)
     return _number(materialise(mined, "templates"), known)
@@ -191,12 +179,16 @@ def match_templates(messages: DataFrame, templates: DataFrame, key: str = "msg_l
     Several matches: fewest wildcards, then the lowest id.
     """
     blank = F.filter(F.transform("tokens", lambda t, i: F.when(t == WILDCARD, i)), lambda i: i.isNotNull())
+    first = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
     patterns = templates.select(F.array_join("tokens", " ").alias("pattern"), F.col("n_tokens").alias("_n"),
-                                blank.alias("wild"), "template_id", "template")
-    shapes = patterns.select("_n", "wild").distinct()
+                                first.alias("_first"), blank.alias("wild"), "template_id", "template")
+    shapes = patterns.select("_n", "_first", "wild").distinct()
     if not shapes.limit(MAX_SHAPES + 1).offset(MAX_SHAPES).take(1):
         shapes = F.broadcast(shapes)
-    asked = messages.select(key, "tokens", F.size("tokens").alias("_n")).join(shapes, "_n")
+    # A template starts with the message's first token or with a wildcard.
+    asked = messages.select(key, "tokens", F.size("tokens").alias("_n"),
+                            F.explode(F.array_distinct(F.array(first, F.lit(WILDCARD)))).alias("_first"))
+    asked = asked.join(shapes, ["_n", "_first"])
     asked = asked.select(key, "_n", F.array_join(F.transform("tokens", lambda t, i: F.when(
         F.array_contains("wild", i), F.lit(WILDCARD)).otherwise(t)), " ").alias("pattern"))
     found = asked.join(patterns, ["_n", "pattern"])

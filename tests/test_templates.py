@@ -35,20 +35,52 @@ def test_same_result_for_any_partitioning(spark):
     assert _dictionary(T.mine_templates(log.repartition(1))) == _dictionary(T.mine_templates(log.repartition(16)))
 
 
-def test_hot_routes_in_chunks(spark):
-    rows = [(i, f"job w{chr(97 + i % 26)}{chr(97 + i // 26)} done in x{chr(97 + i % 7)}") for i in range(300)]
+def _hot(n=600):
+    names = [chr(97 + a) + chr(97 + b) for a in range(26) for b in range(26)]
+    return [(i, f"job {names[i]} on host {names[(7 * i) % 600]} of {names[i % 5]} {names[i % 11]}") for i in range(n)]
+
+
+def test_one_rule_for_hot_routes(spark):
+    log = spark.createDataFrame(_hot(), "row_id bigint, msg_lower string")
+    one, many = (_dictionary(T.mine_templates(log.repartition(n))) for n in (1, 16))
+    assert one == many and sum(size for _, _, size in one) == 600
+    assert T.attach_templates(log, T.mine_templates(log)).filter(F.col("template_id") == "None").count() == 0
+
+
+def test_known_template_grows_in_a_hot_route(spark):
+    log = spark.createDataFrame(_hot(), "row_id bigint, msg_lower string")
+    known = spark.createDataFrame([(61, ["job", "up", "on", "host", WILDCARD], 5, 0)],
+                                  "template_id bigint, tokens array<string>, size bigint, first_row bigint")
+    more = log.unionByName(spark.createDataFrame([(9000, "job up on host cb")], "row_id bigint, msg_lower string"))
+    got = {r.template_id: r for r in T.mine_templates(more, known=known).collect()}
+    assert got[61].size == 6 and got[61].template == f"job up on host {WILDCARD}"
+    assert min(i for i in got if i != 61) == 62
+
+
+def test_threshold_ties_and_order(spark):
+    rows = [(1, "a b c d e"), (2, "a b x y z"),   # 2 of 5 equal: joins at 0.4
+            (3, "q w e r t"), (4, "q p o i u"),   # 1 of 5 equal: stays apart
+            (5, "m n o p q"), (6, "m 1 r s t"),
+            (7, "m n o s t")]                     # 3 of 5 with each of two: the older one
+    log = spark.createDataFrame(rows, "row_id bigint, msg_lower string")
+    w = WILDCARD
+    got = {r.template: r.size for r in T.mine_templates(log).collect()}
+    assert got[f"a b {w} {w} {w}"] == 2
+    assert "q w e r t" in got and "q p o i u" in got
+    assert got[f"m n o {w} {w}"] == 2
+
+
+def test_deeper_prefix_is_narrower(spark):
+    rows = [(i, f"a {'bc'[i % 2]} same same {i % 3}x") for i in range(12)]
     log = spark.createDataFrame(rows, "row_id bigint, msg_lower string")
-    whole, cut = T.mine_templates(log), T.mine_templates(log, chunk=20)
-    assert [r["template"] for r in whole.collect()] == [f"job {WILDCARD} done in {WILDCARD}"]
-    assert cut.agg(F.sum("size")).first()[0] == 300
-    assert T.attach_templates(log, cut).filter(F.col("template_id") == "None").count() == 0
+    assert T.mine_templates(log).count() == 1
+    assert T.mine_templates(log, prefix_depth=2).count() == 2
 
 
 def test_unlike_messages_stay_apart(spark):
     rows = [(i, f"a {'bcdefgh'[i]} {'ijklmno'[i]} {'pqrstuv'[i]}") for i in range(7)]
     log = spark.createDataFrame(rows, "row_id bigint, msg_lower string")
     assert T.mine_templates(log).count() == 7
-    assert T.mine_templates(log, chunk=2).count() == 7
 
 
 def test_state_goes_on_growing(spark, tmp_path):
