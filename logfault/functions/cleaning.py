@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 PART_SEPARATOR = " | "
+# All Unicode white space and the four separators of files, groups, records and units.
+_SPACE = r"(?U:[\s\x1c-\x1f])"
 
 
 def trim_lower(text) -> Column:
     """Remove white space of any kind at both ends, then lower-case."""
     return F.lower(F.regexp_replace(F.regexp_replace(F.col(text) if isinstance(text, str) else text,
-                                                     r"^\s+", ""), r"\s+$", ""))
+                                                     f"^{_SPACE}+", ""), f"{_SPACE}+$", ""))
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,7 @@ def first_word(text) -> Column:
 def words(text) -> Column:
     """White-space tokens without empty ones."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(text, r"\s+", -1), lambda token: token != "")
+    return F.filter(F.split(text, f"{_SPACE}+", -1), lambda token: token != "")
 
 
 def prefix_words(text, prefix) -> Column:

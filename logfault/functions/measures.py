@@ -19,12 +19,18 @@ def ratio_or_null(a, b) -> Column:
     return F.when(_col(b) > 0, _col(a).cast("double") / _col(b))
 
 
-def equal_width_bin(x, low: float, high: float, bins: int = 10) -> Column:
-    """0-based bin of equal width, closed on the right; the minimum is in bin 0."""
-    width = (high - low) / bins
+def equal_width_bin(x, low, high, bins: int = 10) -> Column:
+    """0-based bin of equal width, closed on the right; the minimum is in bin 0.
+
+    ``low`` and ``high`` are numbers, columns or null. A constant column falls
+    into the middle bin (of an even number the lower one), an all-null one
+    gives nulls.
+    """
+    low, high = (F.lit(v) if v is None or isinstance(v, (int, float)) else _col(v) for v in (low, high))
     x = _col(x)
-    return F.when(x.isNotNull(), F.least(F.lit(bins - 1), F.greatest(
-        F.lit(0), F.ceil((x - F.lit(low)) / F.lit(width)).cast("int") - 1)))
+    steps = F.ceil(F.try_divide((x - low) * bins, high - low)).cast("int") - 1
+    inside = F.least(F.lit(bins - 1), F.greatest(F.lit(0), steps))
+    return F.when(x.isNotNull(), F.when(high == low, F.lit((bins - 1) // 2)).when(steps.isNotNull(), inside))
 
 
 def stage_one_label(label) -> Column:

@@ -22,7 +22,8 @@ from ..sources.readers import union_all
 from ..sources.scratch import materialise
 from .weights import attach_weights
 
-MAX_CATEGORIES = 1_000
+#: Split points that the trees try per column.
+MAX_BINS = 128
 STAGE_ONE_CLASSES = 3
 
 
@@ -45,37 +46,29 @@ class Settings:
 
 
 class Encoder:
-    """Numbers for the learner: category indices by frequency, nulls as -1.
+    """Numbers for the learner: category ranks by frequency, null numbers as -1.
 
-    A column with more than ``limit`` values is used as an ordered number (its
-    frequency rank) instead of a set, which trees can still split. Trees also
-    need more rows than a set has values.
+    A category is its frequency rank, an ordered number that trees can split,
+    whatever the number of values; a value that training has not seen comes
+    last. The distinct values of the columns reach the driver.
     """
 
-    def __init__(self, train: DataFrame, settings: Settings, limit: int = MAX_CATEGORIES):
+    def __init__(self, train: DataFrame, settings: Settings):
         self.settings = settings
-        self.limit = limit
         columns = settings.categorical
         self.model = None
-        self.sizes = []
         if columns:
             indexers = StringIndexer(inputCols=columns, outputCols=[f"_i_{c}" for c in columns],
                                      handleInvalid="keep", stringOrderType="frequencyDesc")
             self.model = indexers.fit(train.select(*[F.coalesce(c, F.lit("MISSING")).alias(c) for c in columns]))
-            self.sizes = [len(labels) + 1 for labels in self.model.labelsArray]
-
-    @property
-    def max_bins(self) -> int:
-        return max([32] + [s + 1 for s in self.sizes if s <= self.limit])
 
     def transform(self, df: DataFrame, extra=(), out: str = "features") -> DataFrame:
         s = self.settings
         df = df.fillna("MISSING", s.categorical) if s.categorical else df
         if self.model is not None:
             df = self.model.transform(df)
-        wide = [f"_i_{c}" for c, n in zip(s.categorical, self.sizes) if n > self.limit]
-        for name in wide:
-            df = df.withColumn(name, F.col(name).alias(name, metadata={}))
+        # Without the list of values in its metadata a column is a plain number.
+        df = df.withColumns({f"_i_{c}": F.col(f"_i_{c}").alias(f"_i_{c}", metadata={}) for c in s.categorical})
         numbers = [*s.numeric, *extra]
         df = df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"_x_{c}") for c in numbers])
         inputs = [f"_x_{c}" for c in numbers] + [f"_i_{c}" for c in s.categorical]
@@ -86,7 +79,7 @@ class Encoder:
         return [*self.settings.numeric, *extra, *self.settings.categorical]
 
 
-def first_learner(settings: Settings, max_bins: int):
+def first_learner(settings: Settings, max_bins: int = MAX_BINS):
     if settings.first == "logistic":
         return LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial",
                                   probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_guess")
@@ -97,7 +90,7 @@ def first_learner(settings: Settings, max_bins: int):
                                   featureSubsetStrategy=settings.column_share)
 
 
-def second_learner(settings: Settings, max_bins: int):
+def second_learner(settings: Settings, max_bins: int = MAX_BINS):
     return GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=settings.rounds,
                          stepSize=settings.rate, maxDepth=settings.stage_two_depth, maxBins=max_bins,
                          seed=settings.seed, validationIndicatorCol="_valid", validationTol=0.001,
@@ -115,14 +108,14 @@ class TwoStageModel:
     def __init__(self, train: DataFrame, settings: Settings):
         self.settings = settings
         seen = train.filter(~F.col("held_out"))
-        fewest = seen.filter(F.col("label") <= 1).count()
-        self.encoder = Encoder(seen, settings, min(MAX_CATEGORIES, fewest - 2))
+        self.encoder = Encoder(seen, settings)
         encoded = self.encoder.transform(seen).withColumn("y", stage_one_label("label").cast("double"))
-        self.one = first_learner(settings, self.encoder.max_bins).fit(attach_weights(encoded, "y"))
+        self.one = first_learner(settings).fit(attach_weights(encoded, "y"))
         cpu = self._with_first(train.filter(F.col("label") <= 1)).withColumn("y", F.col("label").cast("double"))
-        cpu = attach_weights(self.encoder.transform(cpu, self._extra), "y")
-        self.two = second_learner(settings, self.encoder.max_bins).fit(
-            cpu.withColumn("_valid", F.col("held_out")))
+        # Class weights come from the training rows alone.
+        counted = seen.filter(F.col("label") <= 1).withColumn("y", F.col("label").cast("double"))
+        cpu = attach_weights(self.encoder.transform(cpu, self._extra), "y", counted=counted)
+        self.two = second_learner(settings).fit(cpu.withColumn("_valid", F.col("held_out")))
 
     @property
     def _extra(self):

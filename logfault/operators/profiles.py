@@ -18,8 +18,10 @@ def value_mix(df: DataFrame, value: str, within: list[str] | None = None) -> Dat
     """Count and share of each value, over all rows or within groups."""
     within = within or []
     counts = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(*(within or [F.lit(1)]))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(everything))
+    if within:
+        return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
+    whole = df.agg(F.count(F.lit(1)).alias("_rows"))  # one row
+    return counts.crossJoin(F.broadcast(whole)).select(value, "n", (F.col("n") / F.col("_rows")).alias("share"))
 
 
 def label_shares(faults: DataFrame, fold: str | None = None, n_folds: int = 10) -> DataFrame:

@@ -344,8 +344,9 @@ SELECT label, CAST(CASE WHEN v <= lo THEN 0 ELSE least(9, greatest(0, ceil((v -
   AS bin, count(*) AS n FROM x, b GROUP BY 1, 2""")
 def histogram(spark, folder):
     faults = standin.faults(spark, folder).withColumn("v", F.col("fault_ts") % 10000)
-    low, high = faults.agg(F.min("v"), F.max("v")).first()
-    return (faults.groupBy("label", M.equal_width_bin("v", low, high).cast("bigint").alias("bin"))
+    edges = faults.agg(F.min("v").alias("low"), F.max("v").alias("high"))  # one row
+    return (faults.crossJoin(F.broadcast(edges))
+            .groupBy("label", M.equal_width_bin("v", "low", "high").cast("bigint").alias("bin"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -18,11 +18,16 @@ from .q_tables import IMPORTANCE_SQL, fold_importance
 
 
 @query("i01_class_weight", """
+, u AS (SELECT CASE WHEN fault_id % 3 = 0 THEN label ELSE 0 END AS label FROM faults)
 SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight
-FROM faults WHERE label <> 3 OR fault_id % 3 = 0 GROUP BY label""")
+FROM u GROUP BY label""")
 def class_weight(spark, folder):
-    faults = standin.faults(spark, folder).filter((F.col("label") != 3) | (F.col("fault_id") % 3 == 0))
-    return tidy(W.class_weights(faults))
+    return tidy(W.class_weights(uneven(standin.faults(spark, folder))))
+
+
+def uneven(faults):
+    """Classes of uneven size, made from the labels; no row goes."""
+    return faults.withColumn("label", F.when(F.col("fault_id") % 3 == 0, F.col("label")).otherwise(0))
 
 
 @query("i02_stratified_folds", """
@@ -75,31 +80,42 @@ def learning_table(spark, folder, test=False):
         "features")
 
 
-def _one_fold(spark, folder, settings, fold=0):
+_FOLDS = """
+, folds AS (SELECT fault_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(fault_id AS VARCHAR) || '42'))
+            - 1) % 10 AS BIGINT) AS fold FROM faults)
+"""
+
+
+def _held_out(spark, folder, settings=SETTINGS):
+    """Every fault scored by the model that has not seen its fold."""
     train = FO.stratified_folds(learning_table(spark, folder), "label", "fault_id", 10)
-    train = materialise(train, "train")
-    model = TS.TwoStageModel(train.withColumn("held_out", F.col("fold") == fold), settings)
-    return model, train.filter(F.col("fold") == fold)
+    return TS.cross_train(train, None, settings, ["fault_id"], 10)[0].withColumn("fold", F.col("fold").cast("bigint"))
 
 
-@query("i04_stage_one")
+def _is_distribution(p: str, size: int):
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    return (F.size(p) == size) & F.forall(p, lambda x: x.between(0, 1)) & (F.abs(total - 1) < 1e-6)
+
+
+@query("i04_stage_one", _FOLDS + "SELECT fault_id, label, fold, TRUE AS probabilities FROM folds")
 def stage_one(spark, folder):
-    model, held = _one_fold(spark, folder, SETTINGS)
-    return model.score(held).select("fault_id", "label", *[F.get("p1", F.lit(i)).alias(f"p1_{i}") for i in range(3)])
+    return _held_out(spark, folder).select("fault_id", "label", "fold", _is_distribution("p1", 3).alias("probabilities"))
 
 
-@query("i05_stage_two")
+@query("i05_stage_two", _FOLDS + "SELECT fault_id, label, fold, TRUE AS probabilities FROM folds WHERE label <= 1")
 def stage_two(spark, folder):
-    model, held = _one_fold(spark, folder, SETTINGS)
-    return (model.score(held.filter(F.col("label") <= 1))
-            .select("fault_id", "label", *[F.get("p2", F.lit(i)).alias(f"p2_{i}") for i in range(2)]))
+    """The CPU faults, which stage two tells apart."""
+    held = _held_out(spark, folder).filter(F.col("label") <= 1)
+    return held.select("fault_id", "label", "fold", _is_distribution("p2", 2).alias("probabilities"))
 
 
-@query("i06_out_of_fold")
+@query("i06_out_of_fold", _FOLDS + "SELECT fault_id, label, fold, TRUE AS decided FROM folds")
 def out_of_fold(spark, folder):
-    train = FO.stratified_folds(learning_table(spark, folder), "label", "fault_id", 10)
-    oof, _, _ = TS.cross_train(train, None, SETTINGS, ["fault_id"], 10)
-    return oof.select("fault_id", "label", "fold", "guess")
+    """The decision follows from the probabilities of the own fold's model."""
+    first = F.when(F.get("p1", F.lit(1)) >= F.get("p1", F.lit(2)), 2).otherwise(3)
+    second = F.when(F.get("p2", F.lit(0)) >= F.get("p2", F.lit(1)), 0).otherwise(1)
+    want = F.when(F.get("p1", F.lit(0)) >= F.array_max("p1"), second).otherwise(first)
+    return _held_out(spark, folder).select("fault_id", "label", "fold", (F.col("guess") == want).alias("decided"))
 
 
 _RUNS = """
@@ -177,24 +193,38 @@ def class_report(spark, folder):
     return tidy(ME.report(_guesses(spark, folder)))
 
 
-@query("i13_oversample")
+@query("i13_oversample", """
+, u AS (SELECT CASE WHEN fault_id % 3 = 0 THEN label ELSE 0 END AS label FROM faults),
+n AS (SELECT label, count(*) AS n FROM u GROUP BY label), m AS (SELECT max(n) AS m FROM n)
+SELECT label, m AS n, m - n AS n_new, TRUE AS between_rows, TRUE AS known_texts FROM n, m""")
 def oversample(spark, folder):
-    """Faults of uneven classes raised to equal size."""
-    table = learning_table(spark, folder).filter((F.col("label") == 0) | (F.col("fault_id") % 3 == 0))
+    """Faults of uneven classes raised to equal size; new rows lie within their class."""
+    table = uneven(learning_table(spark, folder))
     numeric = ["cnt_tail20", "second_span_mean_tail20", "time_diffs_avg_tail20"]
-    table = table.select(F.col("fault_id").alias("key"), "label", "server_model", "tmp_appearance_1",
-                         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric])
-    return OS.oversample(table, numeric, ["server_model", "tmp_appearance_1"])
-
-
-@query("i14_alternative_booster")
+    text = ["server_model", "tmp_appearance_1"]
+    table = materialise(table.select(F.col("fault_id").alias("key"), "label", *text,
+                                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric]), "uneven")
+    made = OS.oversample(table, numeric, text)
+    # One row per class: the box of its numbers and the values of its texts.
+    box = table.groupBy("label").agg(*[F.min(c).alias(f"lo_{c}") for c in numeric], *[F.max(c).alias(f"hi_{c}") for c in numeric],
+                                     *[F.collect_set(F.coalesce(c, F.lit(""))).alias(f"set_{c}") for c in text])
+    inside, known = F.lit(True), F.lit(True)
+    for c in numeric:
+        inside = inside & F.col(c).between(F.col(f"lo_{c}") - 1e-6, F.col(f"hi_{c}") + 1e-6)
+    for c in text:
+        known = known & F.array_contains(f"set_{c}", F.coalesce(c, F.lit("")))
+    return made.join(F.broadcast(box), "label").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_new").alias("n_new"), F.every(inside).alias("between_rows"),
+        F.every(known).alias("known_texts"))
+
+
+@query("i14_alternative_booster", _FOLDS + "SELECT fault_id, label, fold, TRUE AS probabilities FROM folds WHERE label <= 1")
 def alternative_booster(spark, folder):
     """Stage two without stage-one probabilities, rows and columns sampled."""
     settings = TS.Settings(NUMERIC, CATEGORICAL, trees=10, depth=5, rounds=5, stage_two_depth=4,
                            use_stage_one=False, row_share=0.8, column_share="0.8")
-    model, held = _one_fold(spark, folder, settings)
-    return (model.score(held.filter(F.col("label") <= 1))
-            .select("fault_id", "label", *[F.get("p2", F.lit(i)).alias(f"p2_{i}") for i in range(2)]))
+    held = _held_out(spark, folder, settings).filter(F.col("label") <= 1)
+    return held.select("fault_id", "label", "fold", _is_distribution("p2", 2).alias("probabilities"))
 
 
 @query("i15_importance", IMPORTANCE_SQL + """

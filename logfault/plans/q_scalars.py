@@ -184,8 +184,9 @@ SELECT event_id, CAST(CASE WHEN value <= lo THEN 0 ELSE
    least(9, greatest(0, ceil((value - lo) / ((hi - lo) / 10)) - 1)) END AS BIGINT) AS bin FROM x""")
 def equal_width_bins(spark, folder):
     ev = standin.events(spark, folder)
-    low, high = ev.agg(F.min("value"), F.max("value")).first()
-    return ev.select("event_id", M.equal_width_bin("value", low, high).cast("bigint").alias("bin"))
+    edges = ev.agg(F.min("value").alias("low"), F.max("value").alias("high"))  # one row
+    return ev.crossJoin(F.broadcast(edges)).select(
+        "event_id", M.equal_width_bin("value", "low", "high").cast("bigint").alias("bin"))
 
 
 @query("c16_label_remap", """

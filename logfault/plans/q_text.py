@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C, vectors as V
@@ -42,13 +43,13 @@ def template_size(spark, folder):
 
 
 @query("h04_words", """
-SELECT doc_id, len(w) AS n_words, w[1] AS first_word, w[-1] AS last_word FROM (
+SELECT doc_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS words FROM (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda t: t <> '') AS w FROM documents)""",
        base=False)
 def words(spark, folder):
     docs = standin.table(spark, folder, "documents").select("doc_id", C.words("text").alias("w"))
-    return docs.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.get("w", F.lit(0)).alias("first_word"),
-                       F.when(F.size("w") > 0, F.get("w", F.size("w") - 1)).alias("last_word"))
+    return docs.select("doc_id", F.size("w").cast("bigint").alias("n_words"),
+                       F.md5(F.array_join("w", " ")).alias("words"))
 
 
 _TERMS = """
@@ -75,12 +76,9 @@ def document_vocabulary(spark, folder):
     return counts, D.vocabulary(counts, docs.count())
 
 
-@query("h05_ngrams", _TERMS + "SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_grams, "
-       "min(term) AS first_term, max(term) AS last_term FROM cnt GROUP BY doc_id", base=False)
+@query("h05_ngrams", _TERMS + "SELECT doc_id, term, tf FROM cnt", base=False)
 def ngrams(spark, folder):
-    counts = D.term_counts(documents(spark, folder), ["doc_id"], "text", 1, 3)
-    return counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_grams"),
-                                        F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    return D.term_counts(documents(spark, folder), ["doc_id"], "text", 1, 3)
 
 
 @query("h06_vocabulary", _TERMS + "SELECT term, CAST(total AS BIGINT) AS total, df FROM vocab", base=False)
@@ -109,18 +107,30 @@ def _svd(spark, folder):
     return docs.select("doc_id"), counts, components, singular
 
 
-@query("h09_truncated_svd")
+def _placed(projected, key: str):
+    """What SQL can state of coordinates: a unit vector on orthonormal axes stays in the unit ball, and it is
+    zero only for a text without a known term."""
+    length = F.sqrt(F.aggregate("tfv", F.lit(0.0), lambda s, x: s + x * x))
+    return projected.select(key, (length <= 1 + 1e-9).alias("in_unit_ball"), (length > 0).alias("placed"),
+                            F.size("tfv").cast("bigint").alias("n_axes"))
+
+
+@query("h09_truncated_svd", _TERMS + """
+SELECT doc_id, TRUE AS in_unit_ball, doc_id IN (SELECT doc_id FROM cnt JOIN vocab USING (term)) AS placed,
+       CAST(16 AS BIGINT) AS n_axes FROM documents""", base=False)
 def truncated_svd(spark, folder):
     docs, counts, components, _ = _svd(spark, folder)
-    projected = X.project(counts, components, docs, ["doc_id"])
-    return projected.select("doc_id", *V.spread_columns("tfv", "tfv", X.COMPONENTS))
+    return _placed(X.project(counts, components, docs, ["doc_id"]), "doc_id")
 
 
-@query("h10_word_embedding")
+@query("h10_word_embedding", """
+SELECT word, CAST(64 AS BIGINT) AS n_axes, TRUE AS finite FROM (SELECT unnest(string_split(msg_lower, ' ')) AS word FROM plain_logs)
+GROUP BY word HAVING count(*) >= 2""")
 def word_embedding(spark, folder):
     docs = D.bucket_documents(standin.logs(spark, folder), 1800, 20)
     vectors = E.fit_word_vectors(docs, C.words("text"))
-    return vectors.select("word", *V.spread_columns("vector", "w2v", 64))
+    return vectors.select("word", F.size("vector").cast("bigint").alias("n_axes"), F.forall(
+        "vector", lambda x: x.isNotNull() & (F.abs(x) < 1e6)).alias("finite"))
 
 
 SIZE = 64
@@ -193,7 +203,8 @@ def model_scoped_vector(spark, folder):
     return long_form(E.mean_vectors(tails, ["fault_id"], tokens, known, SIZE), "fault_id", "vector")
 
 
-@query("h13_model_scoped_svd")
+@query("h13_model_scoped_svd", """
+SELECT fault_id, TRUE AS in_unit_ball, fault_id IN (SELECT fault_id FROM t20) AS placed, CAST(16 AS BIGINT) AS n_axes FROM faults""")
 def model_scoped_svd(spark, folder):
     """Truncated SVD of bucket documents whose words carry the model."""
     logs = standin.logs(spark, folder)
@@ -206,8 +217,7 @@ def model_scoped_svd(spark, folder):
         model_faults(spark, folder).select("fault_id", "server_model"), "fault_id")
     text = F.array_join(E.tail_tokens(prefix="server_model"), " ")
     asked = D.term_counts(tails.select("fault_id", text.alias("text")), ["fault_id"], "text", 1, 3)
-    return X.project(asked, components, tails.select("fault_id"), ["fault_id"]).select(
-        "fault_id", *V.spread_columns("tfv", "tfv", X.COMPONENTS))
+    return _placed(X.project(asked, components, tails.select("fault_id"), ["fault_id"]), "fault_id")
 
 
 _CENTROIDS = _VECTORS + """
@@ -271,17 +281,26 @@ def other_distances(spark, folder):
         F.round(f"{name}_label{i}", 6).alias(f"{name}_label{i}") for i in range(4) for name in ("dist", "p")])
 
 
-@query("h18_kmeans_distance")
+@query("h18_kmeans_distance", """
+SELECT vec_id, TRUE AS known_cluster, TRUE AS in_range, CAST(4 AS BIGINT) AS n_distances FROM embeddings""", base=False)
 def kmeans_distance(spark, folder):
     vectors = standin.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return X.cluster_distances(vectors, "v").drop("v")
+    found = X.cluster_distances(vectors, "v")
+    distances = F.array(*(c for c in found.columns if c.startswith("cluster_dist_")))
+    return found.select("vec_id", F.col("cluster").between(0, 3).alias("known_cluster"), F.forall(
+        distances, lambda d: d.between(-1e-9, 2 + 1e-9)).alias("in_range"), F.size(distances).cast("bigint").alias("n_distances"))
 
 
-@query("h19_topic_mixture")
+@query("h19_topic_mixture", """
+SELECT doc_id, CAST(8 AS BIGINT) AS n_topics, TRUE AS shares FROM documents""", base=False)
 def topic_mixture(spark, folder):
     counts, vocab = document_vocabulary(spark, folder)
     mixed = X.topic_mixture(X.tfidf_vectors(documents(spark, folder), vocab.cache()))
-    return mixed.select("doc_id", *V.spread_columns("topics", "topic", 8))
+    # The shares of a text with known terms sum to 1; one without any has no mixture.
+    total = F.aggregate("topics", F.lit(0.0), lambda s, x: s + x)
+    known = F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda s, x: s + x) > 0
+    return mixed.select("doc_id", F.size("topics").cast("bigint").alias("n_topics"), (
+        F.forall("topics", lambda x: x >= 0) & (F.abs(total - F.when(known, 1.0).otherwise(total)) < 1e-6)).alias("shares"))
 
 
 @query("h20_untailed_terms", """
@@ -299,7 +318,8 @@ def untailed_terms(spark, folder):
     return D.line_term_counts(D.bucket_lines(standin.logs(spark, folder), 1800), ["sn", "bucket"])
 
 
-@query("h20_untailed_svd")
+@query("h20_untailed_svd", """
+SELECT fault_id, TRUE AS in_unit_ball, fault_id IN (SELECT fault_id FROM t20) AS placed, CAST(16 AS BIGINT) AS n_axes FROM faults""")
 def untailed_svd(spark, folder):
     lines = D.bucket_lines(standin.logs(spark, folder), 1800)
     counts = D.line_term_counts(lines, ["sn", "bucket"])
@@ -308,5 +328,4 @@ def untailed_svd(spark, folder):
     components, _ = X.fit_svd(X.count_vectors(counts, vocab, ["sn", "bucket"]), vocab)
     tails = plain_tails(spark, folder)
     asked = D.term_counts(tails.select("fault_id", E.tail_text().alias("text")), ["fault_id"], "text", 1, 3)
-    return X.project(asked, components, tails.select("fault_id"), ["fault_id"]).select(
-        "fault_id", *V.spread_columns("tfv", "pca", X.COMPONENTS))
+    return _placed(X.project(asked, components, tails.select("fault_id"), ["fault_id"]), "fault_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import tail_features as TF
 from ..functions.cleaning import list_length, normalise_messages, words
@@ -50,7 +50,16 @@ def prepare_faults(labels: DataFrame, submit: DataFrame, logs: DataFrame) -> Dat
     asked = submit.select("sn", "fault_time", F.lit(None).cast("int").alias("label"))
     both = P.attach_model(known.unionByName(asked), logs)
     both = both.withColumn("fault_ts", epoch_seconds("fault_time"))
-    return materialise(both.withColumn("fault_id", F.monotonically_increasing_id()), "faults")
+    return materialise(_with_id(both, ["sn", "fault_time", "label", "server_model"], "fault_id"), "faults")
+
+
+def _with_id(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """An id that is a hash of the row's own columns, so it does not depend on
+    partitions; equal rows are numbered."""
+    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
+    # The label is hashed as text: a null must not hash like nothing at all.
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+    return df.withColumn(name, F.xxhash64(*values, nth))
 
 
 @dataclass
@@ -73,15 +82,19 @@ def fit_text(log: DataFrame, min_df: int = 5, max_features: int = 50_000, compon
 
 def _context(events: DataFrame) -> DataFrame:
     """``fault_time`` tables as event logs."""
-    return (events.withColumnRenamed("fault_time", "time").withColumn("time_ts", epoch_seconds("time"))
-            .withColumn("row_id", F.monotonically_increasing_id()))
+    named = events.withColumnRenamed("fault_time", "time")
+    return named.withColumn("row_id", F.xxhash64(*named.columns)).withColumn("time_ts", epoch_seconds("time"))
 
 
 def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venus: DataFrame, text: TextModels,
-                   size: int = VECTOR_SIZE, components: int = X.COMPONENTS) -> DataFrame:
+                   size: int = VECTOR_SIZE, components: int = X.COMPONENTS, fold: str | None = None,
+                   n_folds: int = 10, shape: bool = False) -> DataFrame:
     """One row of features per fault, labelled or not.
 
     The tails are built once and written; every feature block reads them.
+    With ``fold`` (a column of ``faults``, null for rows to predict) the label
+    shares of a training row leave out its own fold. ``shape`` adds skew and
+    kurtosis of the gaps.
     """
     tails = TL.tail_arrays(log, faults, LONG_TAIL, ["msg_id", "template_id", "msg_lower", "server_model"])
     tails = materialise(tails.withColumn("t20", TL.last_n("tail", TAIL)), "tails")
@@ -90,9 +103,16 @@ def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venu
     vectors = E.mean_vectors(tails.select("fault_id", "t20"), id_, E.tail_tokens("t20"), text.word_vectors, size)
     terms = D.term_counts(tails.select("fault_id", E.tail_text("t20").alias("text")), id_, "text", 1, 3)
     topics = X.project(terms, text.components, tails.select("fault_id"), id_, components)
-    shares = P.label_shares(faults.filter(F.col("label").isNotNull()))
+    labelled = faults.filter(F.col("label").isNotNull())
+    shares = P.label_shares(labelled)
     first_model = F.get(F.col("t20"), F.lit(0))["server_model"]
-    with_shares = P.attach_shares(tails.select("fault_id", first_model.alias("_first")), shares, "_first")
+    asked = tails.select("fault_id", first_model.alias("_first"))
+    if fold is None:
+        with_shares = P.attach_shares(asked, shares, "_first")
+    else:
+        shares = P.label_shares(labelled, fold, n_folds).unionByName(shares.withColumn(fold, F.lit(-1)))
+        asked = asked.join(faults.select("fault_id", F.coalesce(fold, F.lit(-1)).alias(fold)), "fault_id")
+        with_shares = P.attach_shares(asked, shares, "_first", fold=fold).drop(fold)
     crashes = TL.recent_count(_context(crashdump), faults.select("fault_id", "sn", "fault_ts"), DAY, "crashdump_cnt")
     modules = TL.latest_within(materialise(_context(venus), "venus"),
                                faults.select("fault_id", "sn", "fault_ts"), DAY, ["module"])
@@ -102,7 +122,7 @@ def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venu
         "fault_id", "sn", "fault_time", "label", "server_model", *TF.last_ids("tail"),
         *TF.statistics("t20", "tail"), *TF.age_features("age"), *TF.gap_features("gap"), *TF.span_features("age"),
         *TF.top_values("t20", "template_id", "tmp", numeric=False), *TF.top_values("t20", "msg_id", "msg"),
-        *TF.longest_run("t20"), *TF.last_template_frequency("t20"))
+        *TF.longest_run("t20"), *TF.last_template_frequency("t20"), *(TF.gap_shape("gap") if shape else ()))
     return (own
             .join(vectors.select("fault_id", *spread_columns("vector", "w2v", size)), id_)
             .join(with_shares.drop("_first"), id_)

@@ -16,10 +16,17 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 _FINAL_SUFFIX = {"final_a": "a", "final_b": "b"}
 
 
-def read_csv(spark: SparkSession, paths, schema) -> DataFrame:
-    """CSV with a header line and a declared schema."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("timestampFormat", TIME_FORMAT).csv(paths))
+# Quotes inside quoted values are doubled, on read and on write.
+_CSV = {"header": True, "timestampFormat": TIME_FORMAT, "quote": '"', "escape": '"'}
+
+
+def read_csv(spark: SparkSession, paths, schema, multi_line: bool = False) -> DataFrame:
+    """CSV with a header line and a declared schema.
+
+    ``multi_line`` allows line breaks inside quoted values; a file is then one
+    split.
+    """
+    return spark.read.schema(schema).options(**_CSV, multiLine=multi_line).csv(paths)
 
 
 def read_table(spark: SparkSession, path: str, schema=None, fmt: str = "parquet") -> DataFrame:
@@ -27,7 +34,7 @@ def read_table(spark: SparkSession, path: str, schema=None, fmt: str = "parquet"
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("timestampFormat", TIME_FORMAT)
+        reader = reader.options(**_CSV)
     return reader.load(path)
 
 
@@ -60,13 +67,14 @@ def select_sources(tables: dict[str, DataFrame], stage: str | None, kind: str) -
 
 
 def read_stage(spark: SparkSession, folder: str, stage: str | None, kind: str,
-               final_folder: str | None = None) -> DataFrame:
-    """Read one logical table of a stage from CSV files."""
+               final_folder: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Read one logical table of a stage from CSV files; logs get their ``row_id``."""
     schema = {"labels": schemas.LABELS, "logs": schemas.SYSTEM_LOG, "submit": schemas.SUBMIT,
               "crashdump": schemas.CRASHDUMP, "venus": schemas.VENUS}[kind]
     paths = [f"{(final_folder or folder) if name.startswith('final_') else folder}/{name}.csv"
              for name in stage_sources(stage)[kind]]
-    return read_csv(spark, paths, schema)
+    table = read_csv(spark, paths, schema, multi_line)
+    return add_arrival_order(table) if kind == "logs" else table
 
 
 def read_fold_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -80,7 +88,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     """Overwrite ``path``; CSV gets a header and no row numbers."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("timestampFormat", TIME_FORMAT)
+        writer = writer.options(**_CSV)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -80,3 +80,30 @@ def test_two_stage(spark):
     assert right > 200
     assert test.count() == 240
     assert importance.select("fold").distinct().count() == 3
+
+
+def test_one_encoding_for_few_and_many_categories(spark):
+    from logfault.learning import two_stage as TS
+    rows = [(i, f"v{i % 5}", f"w{i}", float(i)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "i int, few string, many string, x double")
+    encoder = TS.Encoder(df, TS.Settings(["x"], ["few", "many"]))
+    out = encoder.transform(df)
+    field = out.schema["features"].metadata["ml_attr"]["attrs"]
+    assert set(field) == {"numeric"} and len(field["numeric"]) == 3
+    new = spark.createDataFrame([(1, "unseen", None, None)], "i int, few string, many string, x double")
+    assert encoder.transform(new).count() == 1
+
+
+def test_topics_and_clusters(spark, small):
+    from pyspark.sql import functions as F
+    from logfault.operators import documents as D, factors as X
+    from logfault.sources import standin
+    docs = standin.table(spark, small, "documents").select("doc_id", "text")
+    vocab = D.vocabulary(D.term_counts(docs, ["doc_id"], "text", 1, 1), docs.count(), 5, 100)
+    mixed = X.topic_mixture(X.tfidf_vectors(docs, vocab, high=1), k=3, max_iter=3)
+    assert mixed.count() == docs.count()
+    assert mixed.filter(F.size("topics") != 3).count() == 0
+    points = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(20)], "i int, v array<double>")
+    near = X.cluster_distances(points, "v", k=2).collect()
+    assert len({r.cluster for r in near}) == 2
+    assert all(min(r.cluster_dist_0, r.cluster_dist_1) < 1e-9 for r in near)
