@@ -98,7 +98,8 @@ def profile_overlap(tails: DataFrame, top: DataFrame, by: list[str], n: int, key
         F.slice("tail", F.greatest(F.lit(1), F.size("tail") - (n - 1)), n), lambda row: row[value]))
     asked = (tails.select(*keys, *[b for b in by if b not in keys], own.alias("own"),
                           F.explode(F.array(*[F.lit(label) for label in labels])).alias("label")))
-    scored = (asked.join(profiles, [*by, "label"], "left")
+    # One profile per label is a handful of rows.
+    scored = (asked.join(profiles if by else F.broadcast(profiles), [*by, "label"], "left")
               .withColumn("overlap", F.coalesce(
                   F.size(F.array_intersect("own", "profile")) / F.size("profile"), F.lit(0.0))))
     return scored.groupBy(*keys).agg(*[

@@ -82,8 +82,8 @@ def distinct_moments(faults: DataFrame) -> DataFrame:
     return faults.select("sn", "fault_ts").distinct()
 
 
-def restrict_to_servers(logs: DataFrame, moments: DataFrame) -> DataFrame:
-    """Drop logs of servers without a moment, and logs after the last moment.
+def restrict_to_servers(logs: DataFrame, moments: DataFrame, until_last: bool = True) -> DataFrame:
+    """Drop logs of servers without a moment and (``until_last``) logs after the last moment.
 
     Done at the scan by a broadcast when the counted number of servers is
     small; with more servers than that the logs are left as they are, which
@@ -92,8 +92,23 @@ def restrict_to_servers(logs: DataFrame, moments: DataFrame) -> DataFrame:
     servers = moments.groupBy("sn").agg(F.max("fault_ts").alias("_last"))
     if len(servers.select("sn").limit(MAX_BROADCAST_SERVERS + 1).offset(MAX_BROADCAST_SERVERS).take(1)):
         return logs
-    return (logs.join(F.broadcast(servers), "sn")
-            .filter(F.col("time_ts") <= F.col("_last")).drop("_last"))
+    kept = logs.join(F.broadcast(servers), "sn")
+    return (kept.filter(F.col("time_ts") <= F.col("_last")) if until_last else kept).drop("_last")
+
+
+def _near_rows(logs: DataFrame, seconds: DataFrame, most: int) -> DataFrame:
+    """Drop logs far from all ``seconds`` at the scan.
+
+    The seconds are rounded until at most ``most`` of them are left, so what
+    is broadcast has a bound at every size; rows kept too many go in the join
+    that follows.
+    """
+    for step in (1, 1 << 6, 1 << 12, 1 << 18):
+        rounded = seconds.select("sn", F.floor(F.col("time_ts") / step).alias("_near")).distinct()
+        if not rounded.limit(most + 1).offset(most).take(1):
+            return (logs.withColumn("_near", F.floor(F.col("time_ts") / step))
+                    .join(F.broadcast(rounded), ["sn", "_near"], "left_semi").drop("_near"))
+    return logs
 
 
 def _as_probes(moments: DataFrame) -> DataFrame:
@@ -137,7 +152,8 @@ def tail_arrays(logs: DataFrame, faults: DataFrame, n: int = 50, payload=None,
         rows = last_per_group(logs.join(F.broadcast(seconds), ["sn", "time_ts"]),
                               ["sn", "time_ts"], newest_first, n, "_age")
     else:
-        rows = last_per_group(logs, ["sn", "time_ts"], newest_first, n, "_age").join(seconds, ["sn", "time_ts"])
+        near_logs = _near_rows(logs, seconds, max_broadcast)
+        rows = last_per_group(near_logs, ["sn", "time_ts"], newest_first, n, "_age").join(seconds, ["sn", "time_ts"])
     rank = F.col("cum_n") - F.col("_age") + 1
     blocks = (rows.select("sn", rank.alias("rank"), *needed)
               .withColumn("block", F.explode(F.sequence(F.floor((F.col("rank") - 1) / n),
@@ -183,6 +199,7 @@ def window_totals(logs: DataFrame, faults: DataFrame, spans: dict[str, int],
     """
     names = ["n", *(measures or {})]
     moments = distinct_moments(faults)
+    logs = restrict_to_servers(logs, moments)
     edges = {"_now": 0, **{name: -span - 1 for name, span in spans.items()}}
     points = moments.select("sn", "fault_ts", F.explode(F.array(*[
         F.struct(F.lit(name).alias("edge"), (F.col("fault_ts") + shift).alias("time_ts"))
@@ -219,6 +236,7 @@ def latest_within(events: DataFrame, faults: DataFrame, seconds: int, payload) -
 def look_ahead(logs: DataFrame, faults: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Logs at or after the fault: ``post_cnt`` and seconds to the first one
     (``post_span``, 0 if there is none)."""
+    logs = restrict_to_servers(logs, distinct_moments(faults), until_last=False)
     line = running_totals(logs, _as_probes(faults), slot_seconds=slot_seconds)
     found = (line.filter(F.col("is_probe") == 1)
              .select("sn", F.col("time_ts").alias("fault_ts"),
@@ -254,6 +272,7 @@ def tail_by_arrival(logs: DataFrame, faults: DataFrame, n: int, payload) -> Data
                                          F.floor(F.col("time_ts") / RADIX ** level).alias("block"))
                                 for level in range(LEVELS)]))
     newest = F.col("row_id").desc()
+    logs = restrict_to_servers(logs, distinct_moments(faults))
     narrow = last_per_group(logs.select("sn", "time_ts", "row_id", *payload), ["sn", "time_ts"], [newest], n)
     blocks = (narrow.select("sn", "row_id", *payload, sized.alias("b"))
               .select("sn", "row_id", *payload, "b.level", "b.block"))

@@ -9,6 +9,7 @@ from ..functions import cleaning as C, vectors as V
 from ..operators import documents as D, embeddings as E, factors as X, templates as T
 from ..sources import standin
 from ..sources.readers import spread_scan
+from ..sources.scratch import materialise
 from .base import query
 from .q_aggregates import model_faults
 from .q_joins import plain_tails
@@ -72,7 +73,7 @@ def documents(spark, folder):
 
 def document_vocabulary(spark, folder):
     docs = documents(spark, folder)
-    counts = D.term_counts(docs, ["doc_id"], "text", 1, 3)
+    counts = materialise(D.term_counts(docs, ["doc_id"], "text", 1, 3), "counts")  # read twice or more
     return counts, D.vocabulary(counts, docs.count())
 
 
@@ -157,8 +158,9 @@ def long_form(df, key, vector):
             .select(key, F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x")))
 
 
-def fault_vectors(spark, folder):
-    tails = plain_tails(spark, folder)
+def fault_vectors(spark, folder, tails=None):
+    """Mean vectors of the tails, which are written as the operator reads them twice."""
+    tails = materialise(plain_tails(spark, folder), "tails") if tails is None else tails
     return E.mean_vectors(tails, ["fault_id"], E.tail_tokens(), word_vectors(spark, folder), SIZE)
 
 
@@ -236,9 +238,9 @@ def label_centroid(spark, folder):
     return long_form(centroids, "label", "centroid")
 
 
-def _model_vectors(spark, folder):
+def _model_vectors(spark, folder, tails=None):
     models = model_faults(spark, folder).select("fault_id", "server_model")
-    return fault_vectors(spark, folder).join(models, "fault_id").select("fault_id", "label", "server_model", "vector")
+    return fault_vectors(spark, folder, tails).join(models, "fault_id").select("fault_id", "label", "server_model", "vector")
 
 
 @query("h15_model_centroid", _CENTROIDS + "SELECT own_model AS server_model, dim, round(c, 6) AS x FROM mcen")
@@ -257,8 +259,9 @@ SELECT s.fault_id, round(max(s.s) FILTER (WHERE label = 0), 6) AS cos_sim_label0
   round(max(s.s) FILTER (WHERE label = 3), 6) AS cos_sim_label3, round(max(m.s), 6) AS cos_sim_server_model
 FROM s JOIN m USING (fault_id) GROUP BY s.fault_id""")
 def cosine_to_centroids(spark, folder):
-    df = _model_vectors(spark, folder)
-    labels = E.label_centroids(plain_tails(spark, folder), word_vectors(spark, folder), SIZE)
+    tails = materialise(plain_tails(spark, folder), "tails")
+    df = materialise(_model_vectors(spark, folder, tails), "vectors")
+    labels = E.label_centroids(tails, word_vectors(spark, folder), SIZE)
     models = E.weighted_mean(df, ["server_model"], out="centroid")
     scored = E.compare_to_labels(df, labels, ["fault_id"])
     own = E.compare_to_groups(df, models, "server_model").select("fault_id", "cos_sim_server_model")
@@ -273,8 +276,9 @@ SELECT fault_id, """ + ", ".join(
     f"round(max(d) FILTER (WHERE label = {i}), 6) AS dist_label{i}, round(max(p) FILTER (WHERE label = {i}), 6) AS p_label{i}"
     for i in range(4)) + " FROM s GROUP BY fault_id")
 def other_distances(spark, folder):
-    df = _model_vectors(spark, folder)
-    labels = E.label_centroids(plain_tails(spark, folder), word_vectors(spark, folder), SIZE)
+    tails = materialise(plain_tails(spark, folder), "tails")
+    df = materialise(_model_vectors(spark, folder, tails), "vectors")
+    labels = E.label_centroids(tails, word_vectors(spark, folder), SIZE)
     far = E.compare_to_labels(df, labels, ["fault_id"], measure=V.euclidean, prefix="dist_label")
     near = E.compare_to_labels(df, labels, ["fault_id"], measure=V.pearson, prefix="p_label")
     return far.join(near, "fault_id").select("fault_id", *[

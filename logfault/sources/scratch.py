@@ -22,4 +22,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the tables that :func:`materialise` has written in this process.
+
+    To be called when no frame that reads them is needed any more; returns
+    the number of tables removed.
+    """
+    removed = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed

@@ -104,3 +104,29 @@ def test_no_range_join_or_python(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         for word in ("CartesianProduct", "NestedLoop", "Python", "Pandas"):
             assert word not in plan
+
+
+def test_rounded_seconds_give_the_same_tails(spark):
+    from pyspark.sql import functions as F
+    from logfault.operators import timeline as TL
+    logs = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 3).alias("sn"), (F.col("id") * 977 % 900_000).alias("time_ts"),
+                                    F.col("id").alias("row_id")).withColumn("time", F.timestamp_seconds("time_ts"))
+    faults = logs.filter("row_id % 10 = 0").select(F.col("row_id").alias("fault_id"), "sn", F.col("time_ts").alias("fault_ts"))
+
+    def tails(most):
+        found = TL.tail_arrays(logs, faults, 3, [], max_broadcast=most)
+        return {r.fault_id: (r.pos, [t.row_id for t in r.tail]) for r in found.collect()}
+    want = tails(1_000_000)
+    # Bounds that fit seconds, minutes, hours, days, and none of them.
+    assert all(tails(most) == want for most in (400, 100, 12, 0))
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    from logfault.sources import scratch
+    from logfault.sources.scratch import drop_scratch, materialise
+    scratch._written.clear()
+    df = materialise(spark.range(5), "numbers")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+    assert df.count() == 5 and os.path.isdir(path)
+    assert drop_scratch(spark) == 1 and not os.path.isdir(path)
