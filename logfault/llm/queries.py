@@ -10,7 +10,7 @@ from .common import table
 from .packing import pack
 from .personal_data import fit, personal_data
 from .quality import judged
-from .secrets import RULES, secrets, spans_string
+from .secrets import RULES, Rule, secrets, spans_string
 from .simhash import hex_of, near_groups
 from .suffix_dedup import remove_repeats
 from .toxicity import scored
@@ -34,6 +34,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+ORACLE["op1_warc"] = """
+WITH d AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, payload_bytes >= 1000 AND page_id < max(page_id) OVER (PARTITION BY payload_digest) AS again,
+             max(page_id) OVER (PARTITION BY payload_digest) AS latest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN latest END AS refers_to FROM g"""
+
+
 @query
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(table(spark, folder, "pages"))
@@ -58,6 +67,26 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"), vocabulary(RANK_VOCABULARY), keep_ids=False).drop("ids")
 
 
+def _spans_sql(rank: int, rule: Rule) -> str:
+    """A row per match: its place from the lengths of the gaps and matches before it."""
+    p = "'" + rule.pattern.replace("'", "''") + "'"
+    return f"""
+SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, before AS s, before + length(found[i]) AS e FROM (
+  SELECT doc_id, i, found, measured, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS before FROM (
+    SELECT doc_id, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS found,
+           regexp_extract_all(text, {p}, {rule.group}) AS measured, unnest(range(1, len(regexp_extract_all(text, {p})) + 1)) AS i
+    FROM documents)) WHERE length(measured[i]) >= {rule.least}"""
+
+
+ORACLE["op5_secrets"] = f"""
+WITH spans AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(RULES))}),
+texts AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans,
+          {", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES)} FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)},
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN texts USING (doc_id)"""
+
+
 def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -86,6 +115,25 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+# Every window of 400 bytes by its hash, then the runs that repeated ones cover.
+ORACLE["op9_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
+pieces AS (SELECT doc_id, j, least(500, n - 399 - j) AS m, substr(x, 2 * j + 1, 1798) AS y
+           FROM (SELECT *, unnest(range(0, n - 399, 500)) AS j FROM n WHERE n >= 400)),
+w AS (SELECT doc_id, j + o AS i, md5(substr(y, 2 * o + 1, 800)) AS g FROM (SELECT *, unnest(range(0, m)) AS o FROM pieces)),
+twice AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN twice USING (g)),
+r AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+parts AS (SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last,
+                 CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM k JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN parts USING (doc_id)"""
+
+
 @query
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), keep_first=False).drop("kept")
