@@ -16,8 +16,13 @@ SEED = 2022
 
 
 def fit_word_vectors(docs: DataFrame, tokens: Column, size: int = 64, window: int = 3,
-                     min_count: int = 2, seed: int = SEED, partitions: int = 1, max_iter: int = 1) -> DataFrame:
-    """``word, vector`` of a skip-gram model with hierarchical softmax."""
+                     min_count: int = 2, seed: int = SEED, partitions: int = 8, max_iter: int = 1) -> DataFrame:
+    """``word, vector`` of a skip-gram model with hierarchical softmax.
+
+    ``partitions`` parts of the corpus are trained side by side and averaged;
+    more of them spread a larger corpus. The words reach the driver: mask
+    messages first, or raise ``min_count``, where they vary freely.
+    """
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=max_iter,
                      numPartitions=partitions, inputCol="tokens", outputCol="unused")
     fitted = model.fit(docs.select(tokens.alias("tokens")).filter(F.size("tokens") > 0))

@@ -103,8 +103,8 @@ def tfidf(spark, folder):
 def _svd(spark, folder):
     docs = documents(spark, folder)
     counts, vocab = document_vocabulary(spark, folder)
-    vocab = vocab.cache()
-    components, singular = X.fit_svd(X.tfidf_vectors(docs, vocab), vocab)
+    vocab = materialise(vocab, "vocabulary")
+    components, singular = X.fit_svd(counts, vocab, ["doc_id"])
     return docs.select("doc_id"), counts, components, singular
 
 
@@ -213,8 +213,8 @@ def model_scoped_svd(spark, folder):
     scoped = logs.withColumn("msg_lower", F.array_join(C.prefix_words("msg_lower", "server_model"), " "))
     docs = D.bucket_documents(scoped, 1800, 20)
     counts = D.term_counts(docs, ["sn", "bucket"], "text", 1, 3)
-    vocab = D.vocabulary(counts, docs.count()).cache()
-    components, _ = X.fit_svd(X.tfidf_vectors(docs, vocab), vocab)
+    vocab = materialise(D.vocabulary(counts, docs.count()), "vocabulary")
+    components, _ = X.fit_svd(counts, vocab, ["sn", "bucket"])
     tails = plain_tails(spark, folder).join(
         model_faults(spark, folder).select("fault_id", "server_model"), "fault_id")
     text = F.array_join(E.tail_tokens(prefix="server_model"), " ")
@@ -299,7 +299,7 @@ def kmeans_distance(spark, folder):
 SELECT doc_id, CAST(8 AS BIGINT) AS n_topics, TRUE AS shares FROM documents""", base=False)
 def topic_mixture(spark, folder):
     counts, vocab = document_vocabulary(spark, folder)
-    mixed = X.topic_mixture(X.tfidf_vectors(documents(spark, folder), vocab.cache()))
+    mixed = X.topic_mixture(X.tfidf_vectors(documents(spark, folder), materialise(vocab, "vocabulary")))
     # The shares of a text with known terms sum to 1; one without any has no mixture.
     total = F.aggregate("topics", F.lit(0.0), lambda s, x: s + x)
     known = F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda s, x: s + x) > 0
@@ -328,8 +328,8 @@ def untailed_svd(spark, folder):
     lines = D.bucket_lines(standin.logs(spark, folder), 1800)
     counts = D.line_term_counts(lines, ["sn", "bucket"])
     n_docs = lines.select("sn", "bucket").distinct().count()
-    vocab = D.vocabulary(counts, n_docs).cache()
-    components, _ = X.fit_svd(X.count_vectors(counts, vocab, ["sn", "bucket"]), vocab)
+    vocab = materialise(D.vocabulary(counts, n_docs), "vocabulary")
+    components, _ = X.fit_svd(counts, vocab, ["sn", "bucket"])
     tails = plain_tails(spark, folder)
     asked = D.term_counts(tails.select("fault_id", E.tail_text().alias("text")), ["fault_id"], "text", 1, 3)
     return _placed(X.project(asked, components, tails.select("fault_id"), ["fault_id"]), "fault_id")

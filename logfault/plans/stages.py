@@ -76,7 +76,7 @@ def fit_text(log: DataFrame, min_df: int = 5, max_features: int = 50_000, compon
     vectors = materialise(E.fit_word_vectors(docs, words("text"), size), "words")
     counts = D.term_counts(docs, ["sn", "bucket"], "text", 1, 3)
     vocab = materialise(D.vocabulary(counts, docs.count(), min_df, max_features), "vocabulary")
-    loadings, _ = X.fit_svd(X.tfidf_vectors(docs, vocab), vocab, components)
+    loadings, _ = X.fit_svd(counts, vocab, ["sn", "bucket"], components)
     return TextModels(vectors, loadings)
 
 

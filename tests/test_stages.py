@@ -32,8 +32,7 @@ def test_svd_and_vectors(spark, small):
     docs = standin.table(spark, small, "documents").select("doc_id", "text")
     counts = D.term_counts(docs, ["doc_id"], "text", 1, 1)
     vocab = S.materialise(D.vocabulary(counts, docs.count(), 5, 200), "vocabulary")
-    vectors = X.tfidf_vectors(docs, vocab, high=1)
-    components, singular = X.fit_svd(vectors, vocab, 4)
+    components, singular = X.fit_svd(counts, vocab, ["doc_id"], 4, rounds=40)
     assert singular == sorted(singular, reverse=True)
     v = [r["v"] for r in components.collect()]
     for i in range(4):
@@ -42,9 +41,26 @@ def test_svd_and_vectors(spark, small):
             assert abs(got - (i == j)) < 1e-6
     placed = X.project(counts, components, docs.select("doc_id"), ["doc_id"], 4)
     assert placed.count() == docs.count()
-    again = X.count_vectors(counts, vocab, ["doc_id"])
-    _, same = X.fit_svd(again, vocab, 4)
-    assert all(abs(a - b) < 1e-6 for a, b in zip(singular, same))
+    # The exact decomposition of the same rows.
+    import numpy as np
+    terms = [r["term"] for r in vocab.orderBy("term").collect()]
+    rows = X.unit_rows(counts, terms, vocab, ["doc_id"]).collect()
+    matrix = np.zeros((len(rows), len(terms)))
+    for i, r in enumerate(rows):
+        matrix[i, r.ids] = r.weights
+    _, exact, axes = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(singular, exact[:4], rtol=1e-6)
+    loadings = np.array([r["v"] for r in components.orderBy("term").collect()])
+    assert np.allclose(abs((axes[:4] * loadings.T).sum(axis=1)), 1, atol=1e-3)
+
+
+def test_uncut_vocabulary_is_refused(spark, monkeypatch):
+    import pytest
+    from logfault.operators import factors as X
+    monkeypatch.setattr(X, "MAX_TERMS", 3)
+    vocab = spark.createDataFrame([(f"t{i}", 1.0) for i in range(4)], "term string, idf double")
+    with pytest.raises(ValueError, match="max_features"):
+        X._vocabulary_list(vocab)
 
 
 def test_vocabulary_cut(spark):
