@@ -2,7 +2,7 @@
 
 Words, their pairs, pairs with one word between and the beginnings of words
 (3, 4 and 5 letters; inflected forms share them) are hashed to coordinates.
-Training runs once through a bounded sample of labelled rows: each
+Training runs three times through a bounded sample of labelled rows: each
 coordinate has its own learning rate, and the L1 term keeps weights at zero
 until evidence adds up, so the model is a short list of coordinates. Its size
 is at most ``2 ** BITS``, whatever the corpus; it is sent to the tasks, which
@@ -104,9 +104,9 @@ def score_of(text: str, dense: np.ndarray) -> float:
 class Ftrl:
     """FTRL-proximal with per-coordinate rates."""
 
-    alpha: float = 0.2
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 3.0
     l2: float = 0.1
 
     def __post_init__(self) -> None:
@@ -140,7 +140,7 @@ def remainder(id_col: str) -> Column:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample: int = SAMPLE, passes: int = 2) -> tuple[np.ndarray, np.ndarray]:
+          sample: int = SAMPLE, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights learned from rows that are not held out.
 
     At most ``sample`` labelled rows are read, those with the smallest hash of
