@@ -161,7 +161,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True,
               .groupBy(F.col("first.key").alias("key_"), F.col("first.tag").alias("tag_"))
               .agg(F.collect_list(F.struct("anchor", "first.lo", "first.hi", "k")).alias("wanted")))
     same = (F.col("key") == F.col("key_")) & (F.col("tag") == F.col("tag_"))
-    one_each = texts.join(wanted, same).select("key", "tag", "text", "wanted")
+    # All columns, needed or not: so this join and the last one read the same shuffle of the texts.
+    one_each = texts.join(wanted, same).drop("key_", "tag_")
     spread = F.when(F.col("bytes").isNull(), F.xxhash64("key", "lo")).otherwise(F.col("grp"))
     contexts = (one_each.mapInArrow(_contexts(length, limit), _CONTEXTS)
                 .withColumn("dealt", spread).repartition("dealt"))
@@ -256,18 +257,17 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             runs = merge_spans([{"start": x, "end": y} for x, y in zip(a, b)])
             out.append(cut_out(t.encode(), runs).decode("utf-8", "ignore"))
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    # Only changed texts pass through Python; no text moves for the union.
-    changed = (spans.filter("spans IS NOT NULL")
-               .withColumn("kept", kept_text("text", F.col("spans.start"), F.col("spans.end"))))
-    columns = [F.col(f"rest.`{c}`").alias(c) if c != text_col else F.col("kept").alias(c) for c in df.columns]
+    # Only changed texts pass through Python.
+    touched = F.when(F.col("spans").isNotNull(), F.col("text"))
+    cut = spans.withColumn("kept", kept_text(touched, F.col("spans.start"), F.col("spans.end")))
+    columns = [F.col(f"rest.`{c}`").alias(c) if c != text_col
+               else F.when(~F.col("missing"), F.coalesce("kept", "text")).alias(c) for c in df.columns]
     if chars_col and chars_col in df.columns:
         kind = df.schema[chars_col].dataType
-        columns[df.columns.index(chars_col)] = F.char_length("kept").cast(kind).alias(chars_col)
-    same = spans.filter("spans IS NULL")
-    return same.select(*(F.col(f"rest.`{c}`").alias(c) if c != text_col
-                         else F.when(~F.col("missing"), F.col("text")).alias(c) for c in df.columns)).unionByName(changed.select(*columns))
+        columns[df.columns.index(chars_col)] = F.coalesce(F.char_length("kept").cast(kind), F.col(f"rest.`{chars_col}`")).alias(chars_col)
+    return cut.select(*columns)
 
 
 __all__ = ["LIMIT", "remove_repeats", "repeated_spans", "without_repeats"]
