@@ -37,6 +37,8 @@ from .repeats import anchors, previous_factors
 
 #: Different ranges that one local suffix array may hold for one anchor.
 LIMIT = 4000
+#: Classes of equal ranges that are broadcast at most.
+HOT_CLASSES = 1000
 #: Bytes of range text that a task sorts at once.
 BATCH_BYTES = 1 << 20
 
@@ -149,11 +151,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True,
     classes = ranges.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     shared = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
     copied = classes.filter("n > 1").select(F.col("anchor").alias("anchor_"), F.col("content").alias("content_"),
-                                            F.col("first").alias("first_"))
+                                            F.col("first").alias("first_"), "n")
     later = ~((F.col("key") == F.col("first_.key")) & (F.col("tag") == F.col("first_.tag"))
               & (F.col("lo") == F.col("first_.lo")))
-    whole = (ranges.join(copied, (F.col("anchor") == F.col("anchor_")) & (F.col("content") == F.col("content_")))
-             .filter(later if keep_first else F.lit(True))
+    # A class with more than a thousandth of all ranges is broadcast (there are under a thousand), as its ranges
+    # would meet in one task; the others are joined by their hashes.
+    hot = ranges.count() // HOT_CLASSES + 1
+    is_same = (F.col("anchor") == F.col("anchor_")) & (F.col("content") == F.col("content_"))
+    marked = ranges.join(F.broadcast(copied.filter(F.col("n") > hot).drop("n")), is_same, "left")
+    spread = marked.filter("first_ IS NOT NULL")
+    rest = (marked.filter("first_ IS NULL").drop("anchor_", "content_", "first_")
+            .join(copied.filter(F.col("n") <= hot).drop("n"), is_same))
+    whole = (spread.unionByName(rest).filter(later if keep_first else F.lit(True))
              .select("key", "tag", F.col("lo").alias("start"), (F.col("hi") + length).alias("end")))
 
     texts = docs.repartition("key", "tag")
