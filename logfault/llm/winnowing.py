@@ -87,7 +87,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     their text. The range of ids is cut into cells of about equal numbers of
     rows and these into buckets of equal width, so no task sorts more than a
     bucket; the last row of a bucket meets the first of the next in a join of
-    one row per bucket. Texts are shuffled once.
+    one row per bucket. Texts move only by their bucket.
     """
     key = F.col(id_col).cast("double")
     counts = df.agg(F.count("*").alias("n"), F.percentile_approx(
