@@ -10,6 +10,8 @@ import xxhash
 
 #: Bytes of the gram whose hash picks an anchor.
 GRAM = 32
+#: Words of the gram whose hash picks an anchor among words.
+WORD_GRAM = 6
 #: Bytes of a text that are hashed at once; pieces overlap by one window.
 PIECE = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -68,20 +70,60 @@ def anchors(text: bytes, length: int) -> list[tuple[int, int, int, int]]:
     return found
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word; words are parted by ASCII white space."""
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where every word of :func:`word_hashes` starts and ends, in bytes."""
+    data = np.frombuffer(text, np.uint8)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edges = np.flatnonzero(np.diff(np.r_[0, inside.view(np.int8), 0]))
+    return edges[::2], edges[1::2]
+
+
+def word_anchors(words: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """:func:`anchors` of windows of ``length`` words, given the hashes of the words."""
+    found = []
+    for base in range(0, max(0, len(words) - length + 1), PIECE):
+        data = words[base:base + PIECE + length - 1]
+        size = len(data) - WORD_GRAM + 1
+        h = np.zeros(size, np.uint64)
+        for i in range(WORD_GRAM):
+            h = (h ^ (h >> np.uint64(29))) * _MIX[0] + data[i:i + size]
+        h ^= h >> np.uint64(32)
+        h *= _MIX[3]
+        h ^= h >> np.uint64(29)
+        places = np.arange(size, dtype=np.uint64)
+        picks = _LOW - (_window_min((h & ~_LOW) | (_LOW - places), length - WORD_GRAM + 1) & _LOW)
+        starts = np.flatnonzero(np.r_[True, picks[1:] != picks[:-1]])
+        ends = np.r_[starts[1:], len(picks)] - 1
+        at = picks[starts].astype(np.int64)
+        codes = h[at].view(np.int64)
+        for lo, hi, p, code in zip(starts.tolist(), ends.tolist(), at.tolist(), codes.tolist()):
+            content = xxhash.xxh3_64_intdigest(data[lo:hi + length].tobytes(), p - lo)
+            found.append((base + lo, base + hi, code, content - (1 << 64) if content >> 63 else content))
+    return found
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort the suffixes at ``starts`` by their first ``length`` bytes.
+    """Sort the suffixes at ``starts`` by their first ``length`` bytes, or hashes of words.
 
-    Prefix doubling: ranks of 8 bytes, then 16, 32 and so on; the last step
-    overlaps to end at ``length``. Returns the starts in suffix order (equal
+    Prefix doubling: ranks of 8 bytes (or one word), then of twice as many and
+    so on; the last step overlaps to end at ``length``. Returns the starts in suffix order (equal
     prefixes by place) and a flag for entries that equal the one before.
     """
     size = len(data)
-    words = np.zeros(size, np.uint64)
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    for i in range(8):
-        words = (words << np.uint64(8)) | padded[i:i + size]
+    if data.dtype == np.uint64:
+        words, width = data, 1
+    else:
+        words, width = np.zeros(size, np.uint64), 8
+        padded = np.r_[data, np.zeros(8, np.uint8)]
+        for i in range(8):
+            words = (words << np.uint64(8)) | padded[i:i + size]
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    width = 8
     while width < length:
         step = min(width, length - width)
         after = np.zeros(size, np.int64)
@@ -93,7 +135,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
             order = np.argsort(pair, kind="stable")
             return starts[order], np.r_[False, pair[order][1:] == pair[order][:-1]]
         rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    raise ValueError("length must exceed 8")
+    raise ValueError("length must exceed 8 bytes or one word")
 
 
 def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

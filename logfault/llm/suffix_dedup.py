@@ -15,6 +15,9 @@ content-defined anchor: equal windows have equal anchors at equal places.
    their windows are hashed one by one, counted with map-side combine and
    joined back, with the same result.
 
+Windows of a number of words can be added: they go the same way as hashes of
+words, their places counted from ``WORDS`` on.
+
 Only pairs (id, place) and the ranges of step 3 are shuffled, and the texts
 once, by id; both text joins read that one exchange.
 """
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise
 from .common import id_of, keyed, row_key, text_of
-from .repeats import anchors, previous_factors
+from .repeats import WORD_GRAM, anchors, previous_factors, word_anchors, word_hashes, word_places
 
 #: Different ranges that one local suffix array may hold for one anchor.
 LIMIT = 4000
@@ -41,6 +44,8 @@ LIMIT = 4000
 HOT_CLASSES = 1000
 #: Bytes of range text that a task sorts at once.
 BATCH_BYTES = 1 << 20
+#: Places from here on are those of words.
+WORDS = 1 << 48
 
 _RANGES = "key long, tag long, lo long, hi long, anchor long, content long"
 _CONTEXTS = "grp long, sub long, key long, tag long, lo long, hi long, bytes binary"
@@ -53,13 +58,17 @@ def _batch(columns: dict[str, list], binary: tuple[str, ...] = ()) -> pa.RecordB
         [pa.array(v, pa.binary() if k in binary else _LONG) for k, v in columns.items()], names=list(columns))
 
 
-def _ranges(length: int):
+def _ranges(length: int, words: int | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "tag", "lo", "hi", "anchor", "content"]
         for batch in batches:
             rows: list[tuple] = []
             for key, tag, text in zip(batch["key"].to_pylist(), batch["tag"].to_pylist(), batch["text"]):
-                rows += [(key, tag, *found) for found in anchors(text.as_buffer().to_pybytes(), length)]
+                data = text.as_buffer().to_pybytes()
+                rows += [(key, tag, *found) for found in anchors(data, length)]
+                if words:
+                    rows += [(key, tag, WORDS + lo, WORDS + hi, anchor, content)
+                             for lo, hi, anchor, content in word_anchors(word_hashes(data), words)]
                 if len(rows) > 50_000:
                     yield _batch(dict(zip(names, zip(*rows))))
                     rows = []
@@ -72,8 +81,8 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _contexts(length: int, limit: int):
-    """The bytes of each wanted range; for large groups a hash per window."""
+def _contexts(length: int, words: int | None, limit: int):
+    """The bytes (or hashes of words) of each wanted range; for large groups a hash per window."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["grp", "sub", "key", "tag", "lo", "hi", "bytes"]
         for batch in batches:
@@ -81,16 +90,21 @@ def _contexts(length: int, limit: int):
             size = 0
             for key, tag, text, wanted in zip(batch["key"].to_pylist(), batch["tag"].to_pylist(),
                                               batch["text"], batch["wanted"].to_pylist()):
-                data = text.as_buffer().to_pybytes()
+                data, hashes = text.as_buffer().to_pybytes(), None
                 for one in wanted:
                     lo, hi = one["lo"], one["hi"]
+                    if lo < WORDS:
+                        part, unit, count = data[lo:hi + length], 1, length
+                    else:
+                        hashes = word_hashes(data) if hashes is None else hashes
+                        part, unit, count = hashes[lo - WORDS:hi - WORDS + words].tobytes(), 8, words
                     if one["k"] <= limit:
-                        rows.append((one["anchor"], 0, key, tag, lo, hi, data[lo:hi + length]))
-                        size += hi + length - lo
+                        rows.append((one["anchor"], 0, key, tag, lo, hi, part))
+                        size += len(part)
                     else:
-                        for s in range(lo, hi + 1):
-                            h = xxhash.xxh3_128_intdigest(data[s:s + length])
-                            rows.append((_signed(h >> 64), _signed(h & ((1 << 64) - 1)), key, tag, s, s, None))
+                        for s in range(hi - lo + 1):
+                            h = xxhash.xxh3_128_intdigest(part[unit * s:unit * (s + count)])
+                            rows.append((_signed(h >> 64), _signed(h & ((1 << 64) - 1)), key, tag, lo + s, lo + s, None))
                     if size > 8 << 20 or len(rows) > 50_000:
                         yield _batch(dict(zip(names, zip(*rows))), ("bytes",))
                         rows, size = [], 0
@@ -104,13 +118,20 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _local(length: int, keep_first: bool):
+def _local(length: int, words: int | None, keep_first: bool):
     """Spans of repeated windows within the groups of a sorted partition."""
     def solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+        yield from of_kind([r for r in rows if r[3] < WORDS], np.uint8, length)
+        yield from of_kind([r for r in rows if r[3] >= WORDS], np.uint64, words)
+
+    def of_kind(rows: list[tuple], kind: type, length: int) -> Iterator[tuple[int, int, int, int]]:
+        if not rows:
+            return
         rows.sort(key=lambda r: r[1:4])
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        bases = np.cumsum([0] + [len(r[4]) for r in rows])
-        counts = [len(r[4]) - length + 1 for r in rows]
+        data = np.frombuffer(b"".join(r[4] for r in rows), kind)
+        sizes = [len(r[4]) // data.itemsize for r in rows]
+        bases = np.cumsum([0] + sizes)
+        counts = [n - length + 1 for n in sizes]
         starts = np.concatenate([np.arange(b, b + c) for b, c in zip(bases, counts)])
         earlier, later = previous_factors(data, starts, length)
         hit = earlier if keep_first else earlier | later
@@ -137,17 +158,22 @@ def _local(length: int, keep_first: bool):
     return walk
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True, limit: int = LIMIT) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True, limit: int = LIMIT,
+                   words: int | None = None) -> DataFrame:
     """``key, tag, text, spans``: the byte spans of each text to remove.
 
     ``docs`` comes from :func:`common.keyed`. A span covers windows of
     ``length`` bytes that also start anywhere else; with ``keep_first`` the
-    first copy, in the order of key and place, stays.
+    first copy, in the order of key and place, stays. With ``words`` there are
+    also spans of windows of so many words; they count words from ``WORDS`` on.
     """
+    if words is not None and words <= 2 * WORD_GRAM:
+        raise ValueError("words must exceed 12")
     if length <= 2 * 32:
         raise ValueError("length must exceed 64 bytes")
-    ranges = materialise(docs.select("key", "tag", "text").mapInArrow(_ranges(length), _RANGES), "ranges")
+    ranges = materialise(docs.select("key", "tag", "text").mapInArrow(_ranges(length, words), _RANGES), "ranges")
     place = F.struct("key", "tag", "lo", "hi")
+    window = F.when(F.col("lo") < WORDS, F.lit(length)).otherwise(F.lit(words)) if words else F.lit(length)
     classes = ranges.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     shared = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
     copied = classes.filter("n > 1").select(F.col("anchor").alias("anchor_"), F.col("content").alias("content_"),
@@ -163,7 +189,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True,
     rest = (marked.filter("first_ IS NULL").drop("anchor_", "content_", "first_")
             .join(copied.filter(F.col("n") <= hot).drop("n"), is_same))
     whole = (spread.unionByName(rest).filter(later if keep_first else F.lit(True))
-             .select("key", "tag", F.col("lo").alias("start"), (F.col("hi") + length).alias("end")))
+             .select("key", "tag", F.col("lo").alias("start"), (F.col("hi") + window).alias("end")))
 
     texts = docs.repartition("key", "tag")
     wanted = (classes.join(shared, "anchor")
@@ -173,16 +199,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True,
     # All columns, needed or not: so this join and the last one read the same shuffle of the texts.
     one_each = texts.join(wanted, same).drop("key_", "tag_")
     spread = F.when(F.col("bytes").isNull(), F.xxhash64("key", "lo")).otherwise(F.col("grp"))
-    contexts = (one_each.mapInArrow(_contexts(length, limit), _CONTEXTS)
+    contexts = (one_each.mapInArrow(_contexts(length, words, limit), _CONTEXTS)
                 .withColumn("dealt", spread).repartition("dealt"))
     local = (contexts.filter("bytes IS NOT NULL").sortWithinPartitions("grp")
-             .select("grp", "key", "tag", "lo", "bytes").mapInArrow(_local(length, keep_first), _SPANS))
+             .select("grp", "key", "tag", "lo", "bytes").mapInArrow(_local(length, words, keep_first), _SPANS))
     windows = contexts.filter("bytes IS NULL").select("grp", "sub", "key", "tag", "lo").distinct()
     often = (windows.groupBy("grp", "sub").agg(F.count("*").alias("n"), F.min(F.struct("key", "tag", "lo")).alias("first_"))
              .filter("n > 1").select(F.col("grp").alias("grp_"), F.col("sub").alias("sub_"), "first_"))
     single = (windows.join(often, (F.col("grp") == F.col("grp_")) & (F.col("sub") == F.col("sub_")))
               .filter(later if keep_first else F.lit(True))
-              .select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + length).alias("end")))
+              .select("key", "tag", F.col("lo").alias("start"), (F.col("lo") + window).alias("end")))
     found = (whole.unionByName(local).unionByName(single).groupBy(F.col("key").alias("key_"), F.col("tag").alias("tag_"))
              .agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     return texts.join(found, same, "left").drop("key_", "tag_")
@@ -199,6 +225,15 @@ def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
+def in_bytes(data: bytes, spans: list[dict]) -> list[dict]:
+    """Spans of words as spans of bytes, with the white space after them; others stay."""
+    if all(s["start"] < WORDS for s in spans):
+        return spans
+    starts, ends = word_places(data)
+    edges = [*starts.tolist(), int(ends[-1])]
+    return [s if s["start"] < WORDS else {"start": edges[s["start"] - WORDS], "end": edges[s["end"] - WORDS]} for s in spans]
+
+
 def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
     for start, end in spans:
@@ -244,9 +279,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
-                    length: int = 400, limit: int = LIMIT) -> DataFrame:
+                    length: int = 400, limit: int = LIMIT, words: int | None = None) -> DataFrame:
     """``df`` with later copies of passages cut out of its texts.
 
+    A passage has ``length`` bytes or more, or ``words`` words or more if that
+    is given; words are parted by white space, which need not be the same.
+
     Columns and rows stay, also those with null or empty texts; ``chars_col``
     is set to the new length. Nothing else changes in untouched rows. Halves
     of a character at a cut are left out.
@@ -255,7 +293,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(row_key(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("tag"),
                      text_of(text_col).alias("text"), rest.dropFields(f"`{text_col}`").alias("rest"),
                      F.col(text_col).isNull().alias("missing"))
-    spans = repeated_spans(docs, length, True, limit)
+    spans = repeated_spans(docs, length, True, limit, words)
 
     @F.pandas_udf("string")
     def kept_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -264,8 +302,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if a is None:
                 out.append(None)
                 continue
-            runs = merge_spans([{"start": x, "end": y} for x, y in zip(a, b)])
-            out.append(cut_out(t.encode(), runs).decode("utf-8", "ignore"))
+            data = t.encode()
+            runs = merge_spans(in_bytes(data, [{"start": x, "end": y} for x, y in zip(a, b)]))
+            out.append(cut_out(data, runs).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
     # Only changed texts pass through Python.

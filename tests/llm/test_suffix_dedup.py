@@ -2,14 +2,19 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logfault.llm import repeats, suffix_dedup
-from logfault.llm.suffix_dedup import remove_repeats, without_repeats
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from logfault.llm import repeats, suffix_dedup  # noqa: E402
+from logfault.llm.suffix_dedup import remove_repeats, without_repeats  # noqa: E402
 
 
 def brute(texts, length, keep_first):
@@ -110,3 +115,42 @@ def test_stage_keeps_columns_and_first_copy(spark):
             assert got[i].text == t
         assert got[i].n_chars == len(got[i].text)
     assert out.filter(F.col("text").isNull()).count() == 0
+
+
+def brute_words(texts, length):
+    """The words that stay if every window of words but its first copy goes."""
+    seen, out = set(), {}
+    for key, t in texts:
+        words = t.split()
+        gone = [False] * len(words)
+        for i in range(len(words) - length + 1):
+            w = tuple(words[i:i + length])
+            if w in seen:
+                gone[i:i + length] = [True] * length
+            seen.add(w)
+        out[key] = [w for w, g in zip(words, gone) if not g]
+    return out
+
+
+@pytest.mark.parametrize("limit", [4000, 1])
+def test_passages_of_over_50_words(spark, limit):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, at = [], 0
+    for size in (49, 50, *range(51, 66), 80):
+        passage = prose(size)
+        for near in (prose(9), prose(30), passage[:40]):
+            at += 1
+            rows.append((at, f"{near} {passage}\n{prose(20)}"))
+    short = " ".join(rng.choice("abcdefg") for _ in range(51))  # 101 bytes
+    rows += [(200, f"x {short} y"), (201, f"y {short.replace(' ', chr(10))}"), (202, ""), (203, " \n")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(7)
+    got = {r.doc_id: r for r in without_repeats(df, length=4000, limit=limit, words=51).collect()}
+    want = brute_words(rows, 51)
+    assert {i: r.text.split() for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert want[201] == ["y"] and sum(len(want[i]) < len(t.split()) for i, t in rows) >= 32
+    docs = df.filter("doc_id < 200")
+    staged = {r.doc_id: r.text.split() for r in corpus_pipeline.suffix_dedup_stage(spark, docs, "").collect()}
+    assert all(len(staged[i]) <= len(want[i]) for i in staged)
