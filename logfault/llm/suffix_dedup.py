@@ -85,11 +85,15 @@ def _contexts(length: int, words: int | None, limit: int):
     """The bytes (or hashes of words) of each wanted range; for large groups a hash per window."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["grp", "sub", "key", "tag", "lo", "hi", "bytes"]
+        seen: set[tuple[int, int]] = set()  # repeated rows are one text
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for key, tag, text, wanted in zip(batch["key"].to_pylist(), batch["tag"].to_pylist(),
                                               batch["text"], batch["wanted"].to_pylist()):
+                if (key, tag) in seen:
+                    continue
+                seen.add((key, tag))
                 data, hashes = text.as_buffer().to_pybytes(), None
                 for one in wanted:
                     lo, hi = one["lo"], one["hi"]
@@ -121,6 +125,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def _local(length: int, words: int | None, keep_first: bool):
     """Spans of repeated windows within the groups of a sorted partition."""
     def solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+        rows = list({r[:4]: r for r in rows}.values())  # a split partition can hold a repeated row in several tasks
         yield from of_kind([r for r in rows if r[3] < WORDS], np.uint8, length)
         yield from of_kind([r for r in rows if r[3] >= WORDS], np.uint64, words)
 

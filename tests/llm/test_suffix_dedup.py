@@ -154,3 +154,17 @@ def test_passages_of_over_50_words(spark, limit):
     docs = df.filter("doc_id < 200")
     staged = {r.doc_id: r.text.split() for r in corpus_pipeline.suffix_dedup_stage(spark, docs, "").collect()}
     assert all(len(staged[i]) <= len(want[i]) for i in staged)
+
+
+@pytest.mark.parametrize("limit", [4000, 1])
+def test_repeated_rows_keep_what_they_share(spark, limit):
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    passage = prose(60)
+    once = [(1, f"{prose(30)} {passage} {prose(30)}"), (2, f"{prose(30)} {passage} {prose(30)}")]
+    df = spark.createDataFrame([*once, once[0], once[0]], "doc_id long, text string").repartition(3)
+    want = {r[0]: r for r in brute([(i, t.encode()) for i, t in once], 100, True)}
+    got = [tuple(r)[:5] for r in remove_repeats(df, length=100, limit=limit).collect()]
+    assert Counter(got) == Counter([want[1]] * 3 + [want[2]])
+    kept = {(r.doc_id, r.text) for r in without_repeats(df, chars_col=None, length=4000, limit=limit, words=51).collect()}
+    assert (1, once[0][1]) in kept and len(kept) == 2 and (2, once[1][1]) not in kept
