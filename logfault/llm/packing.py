@@ -2,7 +2,8 @@
 
 Texts become token ids; only texts longer than a sequence are cut, all pieces
 full but the first. The pieces are dealt into groups of about ``GROUP`` by a
-hash, so the number of groups follows the data and every group packs alike;
+hash of what they are and of their place in the written table, so repeated
+rows spread like any other and the number of groups follows the data and every group packs alike;
 each leaves one or two sequences unfilled. A group places each piece where
 the sum over gaps of (open bins with that gap) squared becomes smallest: this
 keeps the gaps varied, so that later pieces find a bin that they fill.
@@ -170,7 +171,7 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     """
     cut = materialise(pieces(df, vocabulary, id_col, text_col, length), "pieces")
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("key", "tag", "piece"), F.lit(groups)))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("key", "tag", "piece", F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "key", "tag", "piece"], ascending=[False, True, True, True], kind="stable")

@@ -43,8 +43,22 @@ def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
     return keys
 
 
-def anchors(text: bytes, length: int) -> list[tuple[int, int, int, int]]:
-    """Cut the starts of all windows of ``length`` bytes into ranges by anchor.
+def sparse_windows(text: bytes, length: int, words: int) -> np.ndarray:
+    """For each window of ``length`` bytes: can it hold fewer than ``words`` whole words?
+
+    Words at its two ends may be cut, so it holds two less than it has pieces
+    of words. This depends on the window alone, not on what is around it.
+    """
+    data = np.frombuffer(text, np.uint8)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begun = np.r_[0, np.cumsum(np.r_[inside[:1], inside[1:] & ~inside[:-1]])]
+    size = max(0, len(text) - length + 1)
+    pieces = begun[length:length + size] - begun[1:1 + size] + inside[:size]
+    return pieces < words + 2
+
+
+def anchors(text: bytes, length: int, wanted: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+    """Cut the starts of all windows of ``length`` bytes, or of the ``wanted`` ones, into ranges by anchor.
 
     The anchor of a window is its gram with the smallest hash, the rightmost
     of equals, so equal windows have equal anchors at equal places. Gives
@@ -53,14 +67,22 @@ def anchors(text: bytes, length: int) -> list[tuple[int, int, int, int]]:
     from the anchor.
     """
     found = []
+    if wanted is not None and not wanted.any():
+        return found
     span = length - GRAM + 1
     for base in range(0, max(0, len(text) - length + 1), PIECE):
         data = np.frombuffer(text, np.uint8, min(PIECE + length - 1, len(text) - base), base)
         h = gram_hashes(data)
         places = np.arange(len(h), dtype=np.uint64)
         picks = _LOW - (_window_min((h & ~_LOW) | (_LOW - places), span) & _LOW)
-        starts = np.flatnonzero(np.r_[True, picks[1:] != picks[:-1]])
+        change = picks[1:] != picks[:-1]
+        if wanted is not None:
+            own = wanted[base:base + len(picks)]
+            change |= own[1:] != own[:-1]
+        starts = np.flatnonzero(np.r_[True, change])
         ends = np.r_[starts[1:], len(picks)] - 1
+        if wanted is not None:
+            starts, ends = starts[own[starts]], ends[own[starts]]
         at = picks[starts].astype(np.int64)
         codes = h[at].view(np.int64)
         for lo, hi, p, code in zip(starts.tolist(), ends.tolist(), at.tolist(), codes.tolist()):

@@ -172,13 +172,22 @@ def redact(text: Column, rules: Sequence[Rule] = RULES, mark: str = "[REDACTED]"
 
 def without_secrets(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars",
                     rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``df`` with secrets replaced by a mark; rows and columns stay, ``chars_col`` is set anew in changed rows."""
+    """``df`` with secrets replaced by a mark; rows and columns stay, ``chars_col`` is set anew in changed rows.
+
+    A null text stays null, an empty one empty; repeated rows are redacted
+    alike, an empty table stays empty. Columns may have any names.
+    """
     found, _ = findings(df.select(blob_of(text_col).alias("blob"), text_of(text_col).alias("text")), rules)
-    hit = found.select(F.col("blob").alias("_hit"))
-    joined = df.withColumn("_blob", blob_of(text_col)).join(hit, F.col("_blob") == F.col("_hit"), "left")
-    changed = F.col("_hit").isNotNull()
-    out = joined.withColumn(text_col, F.when(changed, redact(F.col(text_col), rules)).otherwise(F.col(text_col)))
-    if chars_col and chars_col in df.columns:
+    others = [c for c in df.columns if c != text_col]
+    # The user's columns travel in a struct, so no name can clash.
+    rest = F.struct(F.lit(True).alias("any"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    rows = df.select(blob_of(text_col).alias("blob"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest"))
+    joined = rows.join(found.select(F.col("blob").alias("hit")), F.col("blob") == F.col("hit"), "left")
+    changed = F.col("hit").isNotNull()
+    out = joined.select("rest", changed.alias("changed"), F.when(changed, redact(F.col("text"), rules)).otherwise(F.col("text")).alias("text"))
+    columns = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
+    if chars_col in columns:
         kind = df.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(changed, F.char_length(text_col).cast(kind)).otherwise(F.col(chars_col)))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns))
+        columns[chars_col] = F.when(F.col("changed"), F.char_length("text").cast(kind)).otherwise(columns[chars_col])
+    columns[text_col] = F.col("text")
+    return out.select(*(columns[c].alias(c) for c in df.columns))

@@ -264,6 +264,8 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = (_grouped(prints, bits, CELL).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("root").agg(F.first(F.coalesce("doc_id", F.lit(NO_ID))).alias("_key"), F.min("tag").alias("_tag"))
             .select("_key", "_tag"))
-    left = df.withColumns({"_own": row_key(id_col), "_text": F.xxhash64(text_of(text_col))})
-    joined = left.join(kept, (F.col("_own") == F.col("_key")) & (F.col("_text") == F.col("_tag")), "left_semi")
-    return joined.dropDuplicates(["_own", "_text"]).select(*df.columns)
+    # The user's columns travel in a struct, so no name can clash.
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
+    left = df.select(row_key(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("text"), rest.alias("rest"))
+    joined = left.join(kept, (F.col("own") == F.col("_key")) & (F.col("text") == F.col("_tag")), "left_semi")
+    return joined.dropDuplicates(["own", "text"]).select(*(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(df.columns)))

@@ -16,7 +16,8 @@ content-defined anchor: equal windows have equal anchors at equal places.
    joined back, with the same result.
 
 Windows of a number of words can be added: they go the same way as hashes of
-words, their places counted from ``WORDS`` on.
+words, their places counted from ``WORDS`` on. Windows of bytes are then only
+needed where one may hold fewer whole words.
 
 Only pairs (id, place) and the ranges of step 3 are shuffled, and the texts
 once, by id; both text joins read that one exchange.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise
 from .common import id_of, keyed, row_key, text_of
-from .repeats import WORD_GRAM, anchors, previous_factors, word_anchors, word_hashes, word_places
+from .repeats import WORD_GRAM, anchors, previous_factors, sparse_windows, word_anchors, word_hashes, word_places
 
 #: Different ranges that one local suffix array may hold for one anchor.
 LIMIT = 4000
@@ -65,7 +66,8 @@ def _ranges(length: int, words: int | None):
             rows: list[tuple] = []
             for key, tag, text in zip(batch["key"].to_pylist(), batch["tag"].to_pylist(), batch["text"]):
                 data = text.as_buffer().to_pybytes()
-                rows += [(key, tag, *found) for found in anchors(data, length)]
+                wanted = sparse_windows(data, length, words) if words else None
+                rows += [(key, tag, *found) for found in anchors(data, length, wanted)]
                 if words:
                     rows += [(key, tag, WORDS + lo, WORDS + hi, anchor, content)
                              for lo, hi, anchor, content in word_anchors(word_hashes(data), words)]
@@ -170,7 +172,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = True,
     ``docs`` comes from :func:`common.keyed`. A span covers windows of
     ``length`` bytes that also start anywhere else; with ``keep_first`` the
     first copy, in the order of key and place, stays. With ``words`` there are
-    also spans of windows of so many words; they count words from ``WORDS`` on.
+    also spans of windows of so many words, which count words from ``WORDS``
+    on, and windows of bytes count only where they may hold fewer words.
     """
     if words is not None and words <= 2 * WORD_GRAM:
         raise ValueError("words must exceed 12")
@@ -287,8 +290,10 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     length: int = 400, limit: int = LIMIT, words: int | None = None) -> DataFrame:
     """``df`` with later copies of passages cut out of its texts.
 
-    A passage has ``length`` bytes or more, or ``words`` words or more if that
-    is given; words are parted by white space, which need not be the same.
+    A passage has ``length`` bytes or more. With ``words`` it has so many words
+    or more, parted by white space that need not be the same; where ``length``
+    bytes may hold fewer words (long words, no white space), it is still one
+    of ``length`` bytes.
 
     Columns and rows stay, also those with null or empty texts; ``chars_col``
     is set to the new length. Nothing else changes in untouched rows. Halves

@@ -3,7 +3,8 @@
 Records are sorted by key and cut into shards of neighbouring keys at places
 that depend on the data alone: byte counts per range of keys, refined where a
 range is too heavy. Each shard is one sorted run; its task rolls to a new file
-when the compressed size is reached. Headers, digests and ids are made from
+when the compressed size is reached, a sixteenth of the shard's payload, so
+most shards are several files. Headers, digests and ids are made from
 the record, so a second run writes the same bytes.
 
 A task writes under a temporary name that no other attempt shares and reports
@@ -36,8 +37,10 @@ from ..sources.scratch import materialise, scratch_path
 from .common import NO_ID
 
 REVISIT_BYTES = 1000
-#: Payload bytes of a shard and compressed bytes of a file.
-SHARD_BYTES, ROLL_BYTES = 16 << 20, 16 << 20
+#: Payload bytes of a shard; a file is rolled at so many compressed bytes, a share of what its shard is to hold.
+SHARD_BYTES, ROLL_SHARE = 16 << 20, 16
+#: Compressed bytes that one task reads, about.
+READ_BYTES = 4 << 20
 #: More shards than this are made larger instead, as every task is told where they start.
 MAX_SHARDS = 100_000
 #: Ranges that each round of counting cuts the keys into.
@@ -94,7 +97,6 @@ def shards(keys: DataFrame, target: int) -> list[int]:
     low, high, total = keys.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
     if low is None:
         return []
-    target = max(target, -(-total // MAX_SHARDS))
     todo, counts = [(low, high + 1)], {}
     while todo:
         spark = keys.sparkSession
@@ -190,7 +192,7 @@ def _commit(folder: str):
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-          revisit_bytes: int = REVISIT_BYTES, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+          revisit_bytes: int = REVISIT_BYTES, shard_bytes: int = SHARD_BYTES, roll_bytes: int | None = None) -> DataFrame:
     """Write a record per row of ``df`` below ``folder``; returns the manifest.
 
     Null payloads are empty, null urls blank; rows with a null id come first.
@@ -207,7 +209,9 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
             .agg(F.max("key").alias("response"), F.min("key").alias("first")).filter("first < response"))
     refers = (slim.filter(F.col("bytes") >= revisit_bytes).join(last, "digest").filter("key < response")
               .select("key", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit(None).cast("string").alias("payload"), "response"))
-    cuts = shards(slim.select("key", (F.col("bytes") + 512).alias("bytes")), shard_bytes)
+    sized = slim.select("key", (F.col("bytes") + 512).alias("bytes"))
+    target = max(shard_bytes, -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // MAX_SHARDS))
+    cuts = shards(sized, target)
     if len(cuts) <= 1:
         shard = F.lit(0)
     else:
@@ -221,11 +225,18 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
     every = rows.select("key", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("response")).unionByName(refers)
     dealt = (every.withColumn("shard", shard).repartitionById(max(1, len(cuts)), "shard")
              .sortWithinPartitions("shard", "key", "kind", "url", "payload"))
-    manifest = materialise(dealt.select("shard", "key", "kind", "url", "payload", "response").mapInArrow(_write(folder, roll_bytes), _MANIFEST), "manifest")
-    manifest.repartition("name").mapInArrow(_commit(folder), _MANIFEST).write.parquet(f"{folder}/manifest")
+    manifest = materialise(dealt.select("shard", "key", "kind", "url", "payload", "response").mapInArrow(
+        _write(folder, roll_bytes or max(1, target // ROLL_SHARE)), _MANIFEST), "manifest")
+    _dealt(manifest).mapInArrow(_commit(folder), _MANIFEST).write.parquet(f"{folder}/manifest")
     return df.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Rows of a manifest, as many tasks as their bytes ask for; the tiny rows alone would all be one task."""
+    count, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return files.repartition(max(1, min(count, -(-size // READ_BYTES))), "name")
+
+
 def members(data: Iterator[bytes]) -> Iterator[bytes]:
     """The gzip members of a stream of bytes."""
     inflate, parts = zlib.decompressobj(31), []
@@ -274,8 +285,8 @@ def read(spark: SparkSession, folder: str, keep_payload: bool = True) -> DataFra
                 if whole.hexdigest() != sha1:
                     raise ValueError(f"{name} differs from the manifest")
 
-    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("name", "sha1")
-    return files.repartition("name").mapInArrow(run, _RECORDS)
+    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("name", "sha1", "bytes")
+    return _dealt(files).mapInArrow(run, _RECORDS)
 
 
 def parse(member: bytes, keep_payload: bool) -> tuple:

@@ -88,3 +88,11 @@ def test_few_sequences(spark):
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), VOCABULARY).count() == 0
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    """Equal rows must not all meet in one group."""
+    rows = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    packed = P.pack(rows, VOCABULARY, group=500)
+    sizes = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 650 and sum(sizes) == 6000

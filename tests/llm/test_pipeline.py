@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute-force versions of its stages."""
 
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -14,7 +15,6 @@ from logfault.llm import packing, toxicity  # noqa: E402
 from logfault.sources.scratch import materialise  # noqa: E402
 from tests.llm.test_secrets import brute as brute_secrets  # noqa: E402
 from tests.llm.test_simhash import brute_groups, brute_print  # noqa: E402
-from tests.llm.test_suffix_dedup import brute as brute_repeats  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,13 +56,49 @@ def test_simhash(stages):
     assert set(after) == {min(i for i, p in prints.items() if p in g) for g in set(groups.values())}
 
 
+def brute_cut(texts, length, words):
+    """Later copies of windows of ``words`` words go, and of windows of ``length`` bytes that may hold fewer words."""
+    pieces = {k: list(re.finditer(rb"[^ \t-\r]+", t)) for k, t in texts.items()}
+    gone = {k: bytearray(len(t)) for k, t in texts.items()}
+    seen = set()
+    for k in sorted(texts):
+        found = [m.group() for m in pieces[k]]
+        edges = [m.start() for m in pieces[k]] + [m.end() for m in pieces[k][-1:]]
+        for i in range(len(found) - words + 1):
+            window = tuple(found[i:i + words])
+            if window in seen:
+                gone[k][edges[i]:edges[i + words]] = b"\1" * (edges[i + words] - edges[i])
+            seen.add(window)
+    seen = set()
+    for k in sorted(texts):
+        for i in range(len(texts[k]) - length + 1):
+            window = texts[k][i:i + length]
+            if len(window.split()) >= words + 2:
+                continue
+            if window in seen:
+                gone[k][i:i + length] = b"\1" * length
+            seen.add(window)
+    return {k: bytes(b for b, g in zip(texts[k], gone[k]) if not g).decode("utf-8", "ignore") for k in texts}
+
+
 def test_suffix_dedup(stages):
     before, after = by_id(stages[2]), by_id(stages[3])
-    assert set(before) == set(after)
-    for key, size, removed, _, _ in brute_repeats([(i, before[i].text.encode()) for i in sorted(before)], 400, True):
-        assert len(after[key].text.encode()) <= size - removed
-        assert len(after[key].text.encode()) > size - removed - 8 * (removed > 0) - 1
-        assert after[key].n_chars == len(after[key].text)
+    want = brute_cut({i: r.text.encode() for i, r in before.items()}, 400, corpus_pipeline.PASSAGE_WORDS)
+    assert {i: r.text for i, r in after.items()} == want
+    assert any(want[i] != before[i].text for i in want)
+    assert all(r.n_chars == len(r.text) for r in after.values())
+
+
+def test_suffix_dedup_of_planted_passages(spark):
+    """51 words go, 50 stay; 400 bytes without white space go, whatever stands before them."""
+    words = [f"{'abcd' if i % 2 else 'w'}{i}" for i in range(51)]
+    block = "".join(chr(97 + i * i % 23) + chr(97 + i % 26) for i in range(250))
+    rows = [(1, "first " + " ".join(words) + " end"), (2, "other  " + "\n".join(words) + " rest"), (3, "and " + " ".join(words[1:]) + " so"),
+            (4, "x" + block + "y"), (5, "head " + "z" * 70 + block), (6, block[:399]), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup_stage(spark, docs, FOLDER).collect()}
+    assert got == {**brute_cut({i: (t or "").encode() for i, t in rows}, 400, 51), 7: None}
+    assert got[2] == "other  rest" and got[3] == rows[2][1] and got[5] == "head " + "z" * 70 and got[6] == block[:399]
 
 
 def test_secrets(stages):

@@ -114,3 +114,22 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_groups(df).count() == 0
     assert simhash.first_of_groups(df).count() == 0
+
+
+def test_columns_of_the_user_stay(spark):
+    """Whatever their names, also those that the operators use inside."""
+    from logfault.llm.secrets import without_secrets
+    names = ["_own", "_text", "_key", "_tag", "_blob", "_hit", "own", "rest", "blob", "hit", "key", "point", "a.b"]
+    rows = [(i, f"text number {i % 3} password=abcdefgh{i % 3}", *[f"{n}{i}" for n in names]) for i in range(6)] + [(None, None, *names), (9, "", *names)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    kept = simhash.first_of_groups(df)
+    assert kept.columns == df.columns
+    by_row = {tuple(r[2:]): r for r in map(tuple, rows)}
+    got = [tuple(r) for r in kept.collect()]
+    assert got and all(by_row[r[2:]] == r for r in got)
+    clean = without_secrets(df)
+    assert clean.columns == df.columns
+    got = {tuple(r)[2:]: tuple(r)[:2] for r in clean.filter("doc_id < 6").collect()}
+    assert got == {r[2:]: (r[0], f"text number {r[0] % 3} [REDACTED]") for r in map(tuple, rows[:6])}
+    assert without_secrets(df.filter("false")).count() == 0 == simhash.first_of_groups(df.filter("false")).count()
+    assert without_secrets(df.select("text")).count() == len(rows)

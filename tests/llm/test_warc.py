@@ -110,3 +110,22 @@ def test_empty_table_and_query(spark):
     folder = "/root/testdata/sf0.001"
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
     assert Counter(tuple(r) for r in op1_warc(spark, folder).collect()) == expected(pages)
+
+
+def test_many_files_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from logfault.llm import warc
+    rows = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    manifest = warc.write(rows, f"file://{tmp_path}/w", shard_bytes=20_000, roll_bytes=500)
+    files = manifest.count()
+    assert files > 1000 and manifest.groupBy("shard").count().filter("count > 3").count() > 10
+    old, warc.READ_BYTES = warc.READ_BYTES, 50_000
+    try:
+        parts = warc.read(spark, f"file://{tmp_path}/w").groupBy(F.spark_partition_id()).count().count()
+        assert parts > 5
+    finally:
+        warc.READ_BYTES = old
+    # By default a shard is several files.
+    html = F.concat_ws("", *(F.sha2(F.concat_ws("-", "page_id", F.lit(i)), 512) for i in range(200)))
+    big = warc.write(rows.withColumn("html", html), f"file://{tmp_path}/v")
+    assert big.groupBy("shard").count().agg(F.max("count")).first()[0] > 3
