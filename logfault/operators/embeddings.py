@@ -2,31 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..functions.cleaning import value_counts, vectoriser_tokens, words
+from ..sources.scratch import materialise
 from .documents import bucket_lines, line_term_counts, vocabulary
+from .factors import leading_axes, on_axes
+from .lookup import counted_broadcast
 from .profiles import LABELS
 
 SEED = 2022
 
 
-def fit_word_vectors(docs: DataFrame, tokens: Column, size: int = 64, window: int = 3,
-                     min_count: int = 2, seed: int = SEED, partitions: int = 8, max_iter: int = 1) -> DataFrame:
-    """``word, vector`` of a skip-gram model with hierarchical softmax.
+def cooccurrences(docs: DataFrame, tokens: Column, window: int = 3) -> DataFrame:
+    """``word, context, n``: how often two tokens lie at most ``window`` places apart in a document.
 
-    ``partitions`` parts of the corpus are trained side by side and averaged;
-    more of them spread a larger corpus. The words reach the driver: mask
-    messages first, or raise ``min_count``, where they vary freely.
+    Both directions count. Pairs are made inside the row and combined on the
+    map side.
     """
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=max_iter,
-                     numPartitions=partitions, inputCol="tokens", outputCol="unused")
-    fitted = model.fit(docs.select(tokens.alias("tokens")).filter(F.size("tokens") > 0))
-    return fitted.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    placed = docs.select(tokens.alias("_t")).select(F.explode(F.transform("_t", lambda t, i: F.struct(
+        t.alias("word"), F.concat(
+            F.slice("_t", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))),
+            F.slice("_t", i + 2, window)).alias("near")))).alias("p"))
+    pairs = placed.select("p.word", F.explode("p.near").alias("context"))
+    return pairs.groupBy("word", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def association(counts: DataFrame, words: DataFrame, contexts: DataFrame, smooth: float = 0.75) -> DataFrame:
+    """``word, context, weight``: positive pointwise mutual information of co-occurrence counts.
+
+    Of ``words`` against ``contexts`` (one column, distinct). Context counts
+    are raised to ``smooth``, which lowers the weight of rare contexts. The
+    sums are one number each per word and context.
+    """
+    kept = materialise(counts.join(words, "word").join(counted_broadcast(contexts), "context"), "pairs")
+    by_word = kept.groupBy("word").agg(F.sum("n").alias("n_word"))
+    by_context = kept.groupBy("context").agg(F.pow(F.sum("n"), F.lit(smooth)).alias("n_context"))
+    total = by_context.agg(F.coalesce(F.sum("n_context"), F.lit(0.0))).first()[0]
+    joined = kept.join(by_word, "word").join(counted_broadcast(by_context), "context")
+    weight = F.ln(F.col("n") * F.lit(total) / (F.col("n_word") * F.col("n_context")))
+    return joined.select("word", "context", weight.alias("weight")).filter("weight > 0")
+
+
+def fit_word_vectors(docs: DataFrame, tokens: Column, size: int = 64, window: int = 3, min_count: int = 2,
+                     seed: int = SEED, max_features: int = 50_000, smooth: float = 0.75, rounds: int = 8) -> DataFrame:
+    """``word, vector`` from windowed co-occurrence counts.
+
+    The table of words against contexts holds their positive pointwise mutual
+    information and is factorised by subspace iteration; a word's vector is
+    its row on the leading ``size`` axes, so inner products of vectors are
+    those of the rows as far as ``size`` axes go. Every word with
+    ``min_count`` occurrences gets a vector; the ``max_features`` most common
+    of them (ties by alphabet) are contexts, and only tables of that size
+    reach the driver. A word without an associated context has the zero
+    vector.
+    """
+    counted = (docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") >= min_count))
+    words = materialise(counted, "words")
+    contexts = words.orderBy(F.col("n").desc(), "word").limit(max_features).select(F.col("word").alias("context"))
+    weights = association(cooccurrences(docs, tokens, window), words.select("word"), contexts, smooth)
+    names = [r[0] for r in contexts.orderBy("context").collect()]
+    if not names:
+        return words.select("word", F.array_repeat(F.lit(0.0), size).alias("vector"))
+    numbered = docs.sparkSession.createDataFrame(list(enumerate(names)), "id int, context string")
+    rows = weights.join(F.broadcast(numbered), "context").groupBy("word").agg(  # at most max_features rows
+        F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("e"))
+    rows = materialise(rows.select("word", F.col("e.id").alias("ids"), F.col("e.weight").alias("weights")), "rows")
+    axes, _ = leading_axes(rows, len(names), size, rounds, seed=seed)
+    placed = on_axes(rows, axes, "word", size)
+    zero = F.array_repeat(F.lit(0.0), size)
+    return words.select("word").join(placed, "word", "left").select("word", F.coalesce("vector", zero).alias("vector"))
 
 
 def weighted_mean(df: DataFrame, keys: list[str], vector: str = "vector", weight: str | None = None,
@@ -120,5 +169,5 @@ def compare_to_labels(df: DataFrame, centroids: DataFrame, keys: list[str], vect
 def compare_to_groups(df: DataFrame, centroids: DataFrame, group: str, vector: str = "vector",
                       measure=V.cosine, out: str = "cos_sim_server_model") -> DataFrame:
     """``measure`` to the centroid of the row's own group; null if it has none."""
-    return (df.join(centroids, group, "left").withColumn(out, measure(vector, "centroid"))
+    return (df.join(counted_broadcast(centroids), group, "left").withColumn(out, measure(vector, "centroid"))
             .drop("centroid"))

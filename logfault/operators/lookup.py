@@ -9,6 +9,18 @@ MAX_HOT_KEYS = 1_000
 SPREAD = 4_096
 
 
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def counted_broadcast(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most ``most`` rows.
+
+    A larger table is returned as it is and joined by a shuffle, with equal
+    results. Counting stops at the bound.
+    """
+    return df if df.limit(most + 1).offset(most).take(1) else F.broadcast(df)
+
+
 def lookup(facts: DataFrame, dictionary: DataFrame, key: str, values: list[str],
            weight: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Attach ``values`` of the dictionary row with the same ``key``.

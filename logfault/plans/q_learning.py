@@ -92,30 +92,21 @@ def _held_out(spark, folder, settings=SETTINGS):
     return TS.cross_train(train, None, settings, ["fault_id"], 10)[0].withColumn("fold", F.col("fold").cast("bigint"))
 
 
-def _is_distribution(p: str, size: int):
-    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
-    return (F.size(p) == size) & F.forall(p, lambda x: x.between(0, 1)) & (F.abs(total - 1) < 1e-6)
-
-
-@query("i04_stage_one", _FOLDS + "SELECT fault_id, label, fold, TRUE AS probabilities FROM folds")
+@query("i04_stage_one")
 def stage_one(spark, folder):
-    return _held_out(spark, folder).select("fault_id", "label", "fold", _is_distribution("p1", 3).alias("probabilities"))
+    """Probabilities of CPU, memory and other faults."""
+    return _held_out(spark, folder).select("fault_id", "label", "fold", "p1")
 
 
-@query("i05_stage_two", _FOLDS + "SELECT fault_id, label, fold, TRUE AS probabilities FROM folds WHERE label <= 1")
+@query("i05_stage_two")
 def stage_two(spark, folder):
     """The CPU faults, which stage two tells apart."""
-    held = _held_out(spark, folder).filter(F.col("label") <= 1)
-    return held.select("fault_id", "label", "fold", _is_distribution("p2", 2).alias("probabilities"))
+    return _held_out(spark, folder).filter(F.col("label") <= 1).select("fault_id", "label", "fold", "p2")
 
 
-@query("i06_out_of_fold", _FOLDS + "SELECT fault_id, label, fold, TRUE AS decided FROM folds")
+@query("i06_out_of_fold")
 def out_of_fold(spark, folder):
-    """The decision follows from the probabilities of the own fold's model."""
-    first = F.when(F.get("p1", F.lit(1)) >= F.get("p1", F.lit(2)), 2).otherwise(3)
-    second = F.when(F.get("p2", F.lit(0)) >= F.get("p2", F.lit(1)), 0).otherwise(1)
-    want = F.when(F.get("p1", F.lit(0)) >= F.array_max("p1"), second).otherwise(first)
-    return _held_out(spark, folder).select("fault_id", "label", "fold", (F.col("guess") == want).alias("decided"))
+    return _held_out(spark, folder).select("fault_id", "label", "fold", "p1", "p2", "guess")
 
 
 _RUNS = """
@@ -218,13 +209,12 @@ def oversample(spark, folder):
         F.every(known).alias("known_texts"))
 
 
-@query("i14_alternative_booster", _FOLDS + "SELECT fault_id, label, fold, TRUE AS probabilities FROM folds WHERE label <= 1")
+@query("i14_alternative_booster")
 def alternative_booster(spark, folder):
     """Stage two without stage-one probabilities, rows and columns sampled."""
     settings = TS.Settings(NUMERIC, CATEGORICAL, trees=10, depth=5, rounds=5, stage_two_depth=4,
                            use_stage_one=False, row_share=0.8, column_share="0.8")
-    held = _held_out(spark, folder, settings).filter(F.col("label") <= 1)
-    return held.select("fault_id", "label", "fold", _is_distribution("p2", 2).alias("probabilities"))
+    return _held_out(spark, folder, settings).filter(F.col("label") <= 1).select("fault_id", "label", "fold", "p2")
 
 
 @query("i15_importance", IMPORTANCE_SQL + """

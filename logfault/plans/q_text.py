@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C, vectors as V
@@ -108,30 +107,55 @@ def _svd(spark, folder):
     return docs.select("doc_id"), counts, components, singular
 
 
-def _placed(projected, key: str):
-    """What SQL can state of coordinates: a unit vector on orthonormal axes stays in the unit ball, and it is
-    zero only for a text without a known term."""
-    length = F.sqrt(F.aggregate("tfv", F.lit(0.0), lambda s, x: s + x * x))
-    return projected.select(key, (length <= 1 + 1e-9).alias("in_unit_ball"), (length > 0).alias("placed"),
-                            F.size("tfv").cast("bigint").alias("n_axes"))
-
-
-@query("h09_truncated_svd", _TERMS + """
-SELECT doc_id, TRUE AS in_unit_ball, doc_id IN (SELECT doc_id FROM cnt JOIN vocab USING (term)) AS placed,
-       CAST(16 AS BIGINT) AS n_axes FROM documents""", base=False)
+@query("h09_truncated_svd")
 def truncated_svd(spark, folder):
+    """The coordinates of every text; ``h09_svd_audit`` holds the axes against the table."""
     docs, counts, components, _ = _svd(spark, folder)
-    return _placed(X.project(counts, components, docs, ["doc_id"]), "doc_id")
+    return X.project(counts, components, docs, ["doc_id"])
+
+
+@query("h09_svd_audit", """
+SELECT axis, 1.0 AS length, 0.0 AS off_other_axes, 0.0 AS off_singular_value FROM (SELECT unnest(range(0, 16)) AS axis)""", base=False)
+def svd_audit(spark, folder):
+    """Axes are orthonormal, and the coordinates on an axis have its singular value as their length."""
+    docs, counts, components, singular = _svd(spark, folder)
+    placed = X.project(counts, components, docs, ["doc_id"])
+    known = F.array(*[F.lit(v) for v in singular])
+    lengths = (placed.select(F.posexplode("tfv").alias("axis", "x")).groupBy("axis")
+               .agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s")))
+    axes = components.select("term", F.posexplode("v").alias("axis", "x"))
+    other = axes.select("term", F.col("axis").alias("axis2"), F.col("x").alias("y"))
+    products = (axes.join(other, "term").groupBy("axis", "axis2").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+                .groupBy("axis").agg(F.max(F.when(F.col("axis") == F.col("axis2"), F.col("p"))).alias("length"),
+                                     F.max(F.when(F.col("axis") != F.col("axis2"), F.abs("p"))).alias("off")))
+    return products.join(lengths, "axis").select(
+        F.col("axis").cast("bigint").alias("axis"), F.round("length", 6).alias("length"), F.round("off", 6).alias("off_other_axes"),
+        F.round(F.abs(F.col("s") / F.get(known, F.col("axis")) - 1), 6).alias("off_singular_value"))
 
 
 @query("h10_word_embedding", """
-SELECT word, CAST(64 AS BIGINT) AS n_axes, TRUE AS finite FROM (SELECT unnest(string_split(msg_lower, ' ')) AS word FROM plain_logs)
-GROUP BY word HAVING count(*) >= 2""")
+, d AS (SELECT sn, ceil(epoch_us(time) / 1800000000.0) AS b, msg_lower, time, row_id,
+        row_number() OVER (PARTITION BY sn, ceil(epoch_us(time) / 1800000000.0) ORDER BY time DESC, row_id DESC) AS back FROM plain_logs),
+doc AS (SELECT string_split(string_agg(msg_lower, ' ' ORDER BY time, row_id), ' ') AS w FROM d WHERE back <= 20 GROUP BY sn, b),
+pos AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM doc),
+word AS (SELECT w[i] AS word FROM pos GROUP BY 1 HAVING count(*) >= 2),
+pair AS (SELECT w[i] AS word, w[i + o] AS context FROM pos CROSS JOIN (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS o)
+         WHERE i + o BETWEEN 1 AND len(w)),
+n AS (SELECT word, context, count(*) AS n FROM pair WHERE word IN (SELECT word FROM word) AND context IN (SELECT word FROM word)
+      GROUP BY 1, 2),
+nw AS (SELECT word, sum(n) AS nw FROM n GROUP BY 1), nc AS (SELECT context, pow(sum(n), 0.75) AS nc FROM n GROUP BY 1),
+m AS (SELECT word, context, ln(n * (SELECT sum(nc) FROM nc) / (nw * nc)) AS x FROM n JOIN nw USING (word) JOIN nc USING (context))
+SELECT a.word, b.word AS other, round(coalesce(sum(p.x * q.x), 0), 4) + 0.0 AS product
+FROM word a CROSS JOIN word b LEFT JOIN (SELECT * FROM m WHERE x > 0) p ON p.word = a.word
+LEFT JOIN (SELECT * FROM m WHERE x > 0) q ON q.word = b.word AND q.context = p.context GROUP BY 1, 2""")
 def word_embedding(spark, folder):
+    """Inner products of all word vectors: with more axes than words they are those of the association table."""
     docs = D.bucket_documents(standin.logs(spark, folder), 1800, 20)
-    vectors = E.fit_word_vectors(docs, C.words("text"))
-    return vectors.select("word", F.size("vector").cast("bigint").alias("n_axes"), F.forall(
-        "vector", lambda x: x.isNotNull() & (F.abs(x) < 1e6)).alias("finite"))
+    vectors = materialise(E.fit_word_vectors(docs, C.words("text")), "vectors")
+    flat = vectors.select("word", F.posexplode("vector").alias("axis", "x"))
+    other = flat.select(F.col("word").alias("other"), "axis", F.col("x").alias("y"))
+    products = flat.join(other, "axis").groupBy("word", "other").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+    return products.select("word", "other", (F.round("p", 4) + 0.0).alias("product"))
 
 
 SIZE = 64
@@ -205,8 +229,7 @@ def model_scoped_vector(spark, folder):
     return long_form(E.mean_vectors(tails, ["fault_id"], tokens, known, SIZE), "fault_id", "vector")
 
 
-@query("h13_model_scoped_svd", """
-SELECT fault_id, TRUE AS in_unit_ball, fault_id IN (SELECT fault_id FROM t20) AS placed, CAST(16 AS BIGINT) AS n_axes FROM faults""")
+@query("h13_model_scoped_svd")
 def model_scoped_svd(spark, folder):
     """Truncated SVD of bucket documents whose words carry the model."""
     logs = standin.logs(spark, folder)
@@ -219,7 +242,7 @@ def model_scoped_svd(spark, folder):
         model_faults(spark, folder).select("fault_id", "server_model"), "fault_id")
     text = F.array_join(E.tail_tokens(prefix="server_model"), " ")
     asked = D.term_counts(tails.select("fault_id", text.alias("text")), ["fault_id"], "text", 1, 3)
-    return _placed(X.project(asked, components, tails.select("fault_id"), ["fault_id"]), "fault_id")
+    return X.project(asked, components, tails.select("fault_id"), ["fault_id"])
 
 
 _CENTROIDS = _VECTORS + """
@@ -285,26 +308,17 @@ def other_distances(spark, folder):
         F.round(f"{name}_label{i}", 6).alias(f"{name}_label{i}") for i in range(4) for name in ("dist", "p")])
 
 
-@query("h18_kmeans_distance", """
-SELECT vec_id, TRUE AS known_cluster, TRUE AS in_range, CAST(4 AS BIGINT) AS n_distances FROM embeddings""", base=False)
+@query("h18_kmeans_distance")
 def kmeans_distance(spark, folder):
     vectors = standin.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    found = X.cluster_distances(vectors, "v")
-    distances = F.array(*(c for c in found.columns if c.startswith("cluster_dist_")))
-    return found.select("vec_id", F.col("cluster").between(0, 3).alias("known_cluster"), F.forall(
-        distances, lambda d: d.between(-1e-9, 2 + 1e-9)).alias("in_range"), F.size(distances).cast("bigint").alias("n_distances"))
+    return X.cluster_distances(vectors, "v").drop("v")
 
 
-@query("h19_topic_mixture", """
-SELECT doc_id, CAST(8 AS BIGINT) AS n_topics, TRUE AS shares FROM documents""", base=False)
+@query("h19_topic_mixture")
 def topic_mixture(spark, folder):
     counts, vocab = document_vocabulary(spark, folder)
     mixed = X.topic_mixture(X.tfidf_vectors(documents(spark, folder), materialise(vocab, "vocabulary")))
-    # The shares of a text with known terms sum to 1; one without any has no mixture.
-    total = F.aggregate("topics", F.lit(0.0), lambda s, x: s + x)
-    known = F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda s, x: s + x) > 0
-    return mixed.select("doc_id", F.size("topics").cast("bigint").alias("n_topics"), (
-        F.forall("topics", lambda x: x >= 0) & (F.abs(total - F.when(known, 1.0).otherwise(total)) < 1e-6)).alias("shares"))
+    return mixed.select("doc_id", "topics")
 
 
 @query("h20_untailed_terms", """
@@ -322,8 +336,7 @@ def untailed_terms(spark, folder):
     return D.line_term_counts(D.bucket_lines(standin.logs(spark, folder), 1800), ["sn", "bucket"])
 
 
-@query("h20_untailed_svd", """
-SELECT fault_id, TRUE AS in_unit_ball, fault_id IN (SELECT fault_id FROM t20) AS placed, CAST(16 AS BIGINT) AS n_axes FROM faults""")
+@query("h20_untailed_svd")
 def untailed_svd(spark, folder):
     lines = D.bucket_lines(standin.logs(spark, folder), 1800)
     counts = D.line_term_counts(lines, ["sn", "bucket"])
@@ -332,4 +345,4 @@ def untailed_svd(spark, folder):
     components, _ = X.fit_svd(counts, vocab, ["sn", "bucket"])
     tails = plain_tails(spark, folder)
     asked = D.term_counts(tails.select("fault_id", E.tail_text().alias("text")), ["fault_id"], "text", 1, 3)
-    return _placed(X.project(asked, components, tails.select("fault_id"), ["fault_id"]), "fault_id")
+    return X.project(asked, components, tails.select("fault_id"), ["fault_id"])

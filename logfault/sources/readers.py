@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators.lookup import counted_broadcast
 from . import schemas
 
 # File names per stage. Fixed values.
@@ -73,8 +74,9 @@ def read_stage(spark: SparkSession, folder: str, stage: str | None, kind: str,
               "crashdump": schemas.CRASHDUMP, "venus": schemas.VENUS}[kind]
     paths = [f"{(final_folder or folder) if name.startswith('final_') else folder}/{name}.csv"
              for name in stage_sources(stage)[kind]]
-    table = read_csv(spark, paths, schema, multi_line)
-    return add_arrival_order(table) if kind == "logs" else table
+    if kind != "logs":
+        return read_csv(spark, paths, schema, multi_line)
+    return arrival_order([read_csv(spark, path, schema, multi_line) for path in paths])
 
 
 def read_fold_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -94,13 +96,29 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     writer.save(path)
 
 
-def add_arrival_order(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A unique arrival number: file order, then position in the file.
+def arrival_order(sources: list[DataFrame], name: str = "row_id") -> DataFrame:
+    """Stack plain file scans and number their rows in order of arrival.
 
-    Ids are increasing and unique but have gaps, which is all that the
-    orderings in this library need.
+    Ids ascend by source (in the given order), path, and place in the file,
+    however Spark packs and splits the files: the hidden metadata of a row name
+    its file and the first byte of its block, and within a block rows keep
+    their order. Blocks are ranked, one row each, and a row's id is the rank
+    of its block and its place in the task. Ids are unique but have gaps.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    marked = union_all([df.select(
+        "*", F.struct(F.lit(i).alias("source"), F.col("_metadata.file_path").alias("path"),
+                      F.col("_metadata.file_block_start").alias("start")).alias("_block"),
+        F.monotonically_increasing_id().alias("_place")) for i, df in enumerate(sources)])
+    order = Window.orderBy("_block")  # one row per block of a file
+    blocks = marked.select("_block").distinct().withColumn("_rank", F.row_number().over(order).cast("bigint"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = marked.join(counted_broadcast(blocks), "_block").withColumn(name, F.shiftleft("_rank", 33) + place)
+    return numbered.drop("_block", "_rank", "_place")
+
+
+def add_arrival_order(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """:func:`arrival_order` of one scan."""
+    return arrival_order([df], name)
 
 
 def spread_scan(df: DataFrame) -> DataFrame:

@@ -35,3 +35,25 @@ def test_stage_from_files(spark, tmp_path):
     assert len(rows) == 8 and len({r.row_id for r in rows}) == 8
     for n in range(4):  # the arrival number follows the file
         assert [r.msg for r in sorted((r for r in rows if r.sn == f"s{n}"), key=lambda r: r.row_id)] == ["m2", "m1"]
+
+
+def test_arrival_follows_source_file_and_line(spark, tmp_path):
+    """Files of unequal size, many splits, several files per task: ids ascend by source, path and line."""
+    sizes = {"a": {"p1": 10, "p2": 3000}, "b": {"p0": 700, "p3": 1}, "c": {"q": 9000}}
+    for source, files in sizes.items():
+        (tmp_path / source).mkdir()
+        for name, n in files.items():
+            (tmp_path / source / f"{name}.csv").write_text("sn,time,msg,server_model\n" + "".join(
+                f"{source}{name},2020-01-01 00:00:00,{i},sm\n" for i in range(n)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for split in ("4k", "64k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", "16")
+            scans = [R.read_csv(spark, str(tmp_path / s), schemas.SYSTEM_LOG) for s in ("c", "a", "b")]
+            rows = sorted((r.row_id, r.sn, int(r.msg)) for r in R.arrival_order(scans).collect())
+            want = [(s + f, i) for s in ("c", "a", "b") for f, n in sorted(sizes[s].items()) for i in range(n)]
+            assert [r[1:] for r in rows] == want and len({r[0] for r in rows}) == len(want)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -112,3 +112,71 @@ def test_lookup_with_hot_keys(spark):
     assert got.count() == 1000
     assert got.filter("value IS NULL").count() == facts.filter("key IS NULL OR key = 'k3'").count()
     assert got.filter("value <> upper(key)").count() == 0
+
+
+def _stream_of(items, known=(), similarity=T.SIMILARITY):
+    """Plain mining of one long stream per route: (template, size) pairs."""
+    routes = {}
+    for tokens, size, first in sorted(items, key=lambda x: (x[2], x[0])):
+        routes.setdefault((len(tokens), WILDCARD if any(c.isdigit() for c in tokens[0]) else tokens[0]), []).append((tokens, size))
+    out = {}
+    for route, messages in routes.items():
+        grown = [[list(k), n] for k, n in known if (len(k), k[0]) == route]
+        for tokens, size in messages:
+            scored = [(sum(a == b and a != WILDCARD for a, b in zip(t, tokens)), t.count(WILDCARD), -i) for i, (t, _) in enumerate(grown)]
+            top = max(scored, default=(-1, 0, 0))
+            if top[0] >= similarity * len(tokens):
+                best = grown[-top[2]]
+                best[0] = [a if a == b else WILDCARD for a, b in zip(best[0], tokens)]
+                best[1] += size
+            else:
+                grown.append([list(tokens), size])
+        for t, n in grown:
+            out[" ".join(t)] = out.get(" ".join(t), 0) + n
+    return out
+
+
+def _random_log(seed, n):
+    """Messages of nested shapes, so that templates grow and draw messages from each other."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        shape = rng.choice(["hot {} is {} on {} of {} {}", "hot {} was {} on {} of {} {}", "hot {} {} {} {} {} {}", "cold {} {} {}", "one {}"])
+        rows.append((rng.randrange(10 * n), shape.format(*("".join(rng.choices("abcdef", k=rng.choice((1, 1, 2)))) for _ in range(6)))))
+    return rows
+
+
+def test_rounds_equal_one_stream(spark):
+    """Any cut of the work gives the templates of one long stream, also with known templates and repeated row ids."""
+    for seed in (1, 2):
+        rows = _random_log(seed, 1500)
+        known = spark.createDataFrame([(7, ["hot", "a", "is", WILDCARD, "on", "b", "of", "c", "d"], 5, 0)],
+                                      "template_id bigint, tokens array<string>, size bigint, first_row bigint") if seed == 2 else None
+        log = spark.createDataFrame(rows, "row_id bigint, msg_lower string")
+        items = {}
+        for i, m in rows:
+            size, first = items.get(tuple(m.split()), (0, i))
+            items[tuple(m.split())] = size + 1, min(first, i)
+        want = _stream_of([(list(k), *v) for k, v in items.items()], [(k.tokens, k.size) for k in known.collect()] if known else ())
+        for parts, first_rows, slice_rows in ((1, 10_000, 10_000), (16, 8, 40), (3, 64, 200)):
+            got = T.mine_templates(log.repartition(parts), known=known, first_rows=first_rows, slice_rows=slice_rows)
+            assert {r.template: r.size for r in got.collect()} == want
+
+
+def test_a_hot_route_is_many_tasks(spark):
+    """A third of all messages share their route: they are compared in slices, few of them go through the stream."""
+    names = [a + b for a in "abcdefghijklmnop" for b in "qrstuvwxyz"]
+    rows = [(i, f"job {names[i % 160]} on {names[i // 160 % 160]} now") for i in range(4000)] + [
+        (10_000 + i, f"{names[i % 160]} {' '.join(names[j] for j in range(i // 160))} x{names[i // 160]}") for i in range(8000)]
+    log = spark.createDataFrame(rows, "row_id bigint, msg_lower string")
+    seen = []
+    kept, T._stream = T._stream, lambda chosen, s: seen.append(chosen.filter("route LIKE '%job'").count()) or kept(chosen, s)
+    try:
+        got = T.mine_templates(log, first_rows=50, slice_rows=500)
+    finally:
+        T._stream = kept
+    assert {r.template: r.size for r in got.filter("first_token = 'job'").collect()} == {f"job {WILDCARD} on {WILDCARD} now": 4000}
+    assert max(seen) <= 800  # a fifth of them
+    routed = log.select(F.lit("5 job").alias("route"), T.template_tokens("msg_lower").alias("tokens")).filter("size(tokens) = 5 AND tokens[0] = 'job'")
+    slices = T._in_slices(routed, T._busy_routes(routed, 50, 500)).groupBy("slice").count().collect()
+    assert len(slices) == 8 and max(r["count"] for r in slices) < 700
