@@ -184,17 +184,30 @@ def class_report(spark, folder):
     return tidy(ME.report(_guesses(spark, folder)))
 
 
-@query("i13_oversample", """
+OVER_NUMERIC = ["cnt_tail20", "second_span_mean_tail20", "time_diffs_avg_tail20"]
+OVER_TEXT = ["server_model", "tmp_appearance_1"]
+
+
+def _oversampled(spark, folder):
+    table = uneven(learning_table(spark, folder))
+    return materialise(table.select(F.col("fault_id").alias("key"), "label", *OVER_TEXT, *[
+        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in OVER_NUMERIC]), "uneven")
+
+
+@query("i13_oversample")
+def oversample(spark, folder):
+    """Faults of uneven classes raised to equal size."""
+    return OS.oversample(_oversampled(spark, folder), OVER_NUMERIC, OVER_TEXT)
+
+
+@query("i13_oversample_audit", """
 , u AS (SELECT CASE WHEN fault_id % 3 = 0 THEN label ELSE 0 END AS label FROM faults),
 n AS (SELECT label, count(*) AS n FROM u GROUP BY label), m AS (SELECT max(n) AS m FROM n)
 SELECT label, m AS n, m - n AS n_new, TRUE AS between_rows, TRUE AS known_texts FROM n, m""")
-def oversample(spark, folder):
-    """Faults of uneven classes raised to equal size; new rows lie within their class."""
-    table = uneven(learning_table(spark, folder))
-    numeric = ["cnt_tail20", "second_span_mean_tail20", "time_diffs_avg_tail20"]
-    text = ["server_model", "tmp_appearance_1"]
-    table = materialise(table.select(F.col("fault_id").alias("key"), "label", *text,
-                                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric]), "uneven")
+def oversample_audit(spark, folder):
+    """Class sizes; new rows lie within the box of their class and take its texts."""
+    table = _oversampled(spark, folder)
+    numeric, text = OVER_NUMERIC, OVER_TEXT
     made = OS.oversample(table, numeric, text)
     # One row per class: the box of its numbers and the values of its texts.
     box = table.groupBy("label").agg(*[F.min(c).alias(f"lo_{c}") for c in numeric], *[F.max(c).alias(f"hi_{c}") for c in numeric],

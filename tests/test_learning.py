@@ -50,9 +50,10 @@ def test_oversample(spark, monkeypatch):
     monkeypatch.setattr(OS, "BLOCK_ROWS", 16)
     rows = [(i, 0 if i < 100 else 1 + i % 2, float(i % 17), float(i * i % 23), "ab"[i % 2]) for i in range(160)]
     df = spark.createDataFrame(rows, "key bigint, label int, x double, y double, t string")
-    near = OS.neighbours(df, ["x", "y"], ["t"]).collect()
+    near = OS.neighbours(df, ["x", "y"], ["t"], cell_rows=8).collect()
     import statistics
-    med = statistics.median([statistics.pstdev([r[2] for r in rows]), statistics.pstdev([r[3] for r in rows])])
+    smallest = [r for r in rows if r[1] == 1]
+    med = statistics.median([statistics.pstdev([r[2] for r in smallest]), statistics.pstdev([r[3] for r in smallest])])
     got = {}
     for r in near:
         got.setdefault(r["key"], []).append((r["rank"], r["distance"]))
@@ -107,3 +108,33 @@ def test_topics_and_clusters(spark, small):
     near = X.cluster_distances(points, "v", k=2).collect()
     assert len({r.cluster for r in near}) == 2
     assert all(min(r.cluster_dist_0, r.cluster_dist_1) < 1e-9 for r in near)
+
+
+def test_neighbours_meet_few_cells(spark):
+    """Exact neighbours with a third of all rows at one place, by far fewer comparisons than all pairs."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 100, (40, 3))
+    xyz = np.r_[centres[rng.integers(0, 40, 4000)] + rng.normal(0, 1, (4000, 3)), np.tile(centres[0], (2000, 1))]
+    rows = [(int(i), 1, *map(float, v), "ab"[i % 2]) for i, v in enumerate(xyz)]
+    df = spark.createDataFrame(rows, "key bigint, label int, x double, y double, z double, t string").repartition(5)
+    penalty = OS.text_penalty(df, ["x", "y", "z"])
+    got = {}
+    for r in OS.neighbours(df, ["x", "y", "z"], ["t"], 4, cell_rows=64).collect():
+        got.setdefault(r["key"], {})[r["rank"]] = r["near"]
+    side = np.arange(len(xyz)) % 2
+    for i in [*range(0, 4000, 97), 4000, 4001, 5999]:
+        d = np.zeros(len(xyz))
+        for c in range(3):
+            d += (xyz[i, c] - xyz[:, c]) ** 2
+        d += penalty * (side != side[i])
+        d[i] = np.inf
+        assert [got[i][n] for n in (1, 2, 3, 4)] == np.argsort(d, kind="stable")[:4].tolist()
+    assert len(got) == 6000
+    every = OS.points(df.select("key", "label", F.array("x", "y", "z").alias("numbers"), F.array(F.xxhash64("t")).alias("texts")), 4)
+    assert every.count() == 4002
+    pivots = OS.Pivots(every, 4, penalty, 64)
+    cells = pivots.place(every)
+    pivots.measure(cells)
+    pairs = pivots.asking(cells).join(cells.groupBy(F.col("cell").alias("asked")).count(), "asked").agg(F.sum("count")).first()[0]
+    assert pairs < 4002 ** 2 / 8
