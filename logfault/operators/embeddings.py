@@ -11,10 +11,12 @@ from ..functions.cleaning import value_counts, vectoriser_tokens, words
 from ..sources.scratch import materialise
 from .documents import bucket_lines, line_term_counts, vocabulary
 from .factors import leading_axes, on_axes
-from .lookup import counted_broadcast
+from .lookup import counted_broadcast, lookup
 from .profiles import LABELS
 
 SEED = 2022
+#: Messages with a vector that are broadcast at most.
+MAX_MESSAGES = 20_000
 
 
 def cooccurrences(docs: DataFrame, tokens: Column, window: int = 3) -> DataFrame:
@@ -103,6 +105,31 @@ def mean_vectors(df: DataFrame, keys: list[str], tokens: Column, vectors: DataFr
     return df.join(means, keys, "left").withColumn(out, F.coalesce(out, _zeros(size)))
 
 
+def tail_mean_vectors(tails: DataFrame, keys: list[str], vectors: DataFrame, size: int, tail: str = "tail",
+                      field: str = "msg_lower", out: str = "vector") -> DataFrame:
+    """:func:`mean_vectors` over the tokens of a tail's messages, message by message.
+
+    Each distinct message meets the word vectors once; a fault then joins its
+    few messages instead of its many words. Messages with very many faults
+    are spread by :func:`lookup`.
+    """
+    messages = F.transform(F.col(tail), lambda row: row[field])
+    counted = (tails.select(*keys, F.explode(value_counts(messages)).alias("m"))
+               .select(*keys, F.col("m.value").alias("message"), F.col("m.n").alias("n")))
+    seen = counted.groupBy("message").agg(F.count(F.lit(1)).alias("n_rows"))
+    known = (seen.select("message", F.explode(value_counts(words("message"))).alias("t"))
+             .select("message", F.col("t.value").alias("word"), F.col("t.n").alias("w")).join(vectors, "word"))
+    value = array_to_vector(F.col("vector"))
+    placed = known.groupBy("message").agg(Summarizer.mean(value, F.col("w").cast("double")).alias("_mean"), F.sum("w").alias("_words"))
+    placed = materialise(seen.join(placed, "message").select("message", "n_rows", "_words", vector_to_array("_mean").alias("_mean")), "messages")
+    if placed.limit(MAX_MESSAGES + 1).offset(MAX_MESSAGES).take(1):
+        joined = lookup(counted, placed, "message", ["_words", "_mean"], weight="n_rows").filter("_words IS NOT NULL")
+    else:
+        joined = counted.join(F.broadcast(placed.drop("n_rows")), "message")
+    means = weighted_mean(joined.withColumn("_w", (F.col("n") * F.col("_words")).cast("double")), keys, "_mean", "_w", out)
+    return tails.join(means, keys, "left").withColumn(out, F.coalesce(out, _zeros(size)))
+
+
 def tail_tokens(tail="tail", field: str = "msg_lower", prefix=None) -> Column:
     """White-space tokens of a tail's text, each behind ``<prefix>_`` if given."""
     tokens = F.flatten(F.transform(F.col(tail), lambda row: words(row[field])))
@@ -158,12 +185,11 @@ def compare_to_labels(df: DataFrame, centroids: DataFrame, keys: list[str], vect
                       measure=V.cosine, prefix: str = "cos_sim_label", labels=LABELS) -> DataFrame:
     """One column per label with ``measure(vector, centroid)``.
 
-    There is one centroid per label, so that side is broadcast.
+    There is one centroid per label: they are one row, attached to every row.
     """
-    asked = df.select(*keys, vector, F.explode(F.array(*[F.lit(i) for i in labels])).alias("label"))
-    scored = asked.join(F.broadcast(centroids), "label", "left").withColumn("_s", measure(vector, "centroid"))
-    return scored.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("label") == i, F.col("_s"))).alias(f"{prefix}{i}") for i in labels])
+    one = centroids.agg(F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("int"), "centroid"))).alias("_of"))
+    scored = df.select(*keys, vector).crossJoin(F.broadcast(one))
+    return scored.select(*keys, *[measure(F.col(vector), F.try_element_at("_of", F.lit(i))).alias(f"{prefix}{i}") for i in labels])
 
 
 def compare_to_groups(df: DataFrame, centroids: DataFrame, group: str, vector: str = "vector",

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lookup import counted_broadcast
+
 LABELS = (0, 1, 2, 3)
+#: Profiles, of some fifty messages each, that are broadcast at most.
+MAX_PROFILES = 20_000
 
 
 def attach_model(faults: DataFrame, logs: DataFrame, missing: str = "MISSING") -> DataFrame:
@@ -62,7 +66,7 @@ def attach_shares(df: DataFrame, shares: DataFrame, model: Column | str,
     wide = share_columns(shares, keys, prefix, labels).withColumnRenamed("server_model", "_model")
     model = F.col(model) if isinstance(model, str) else model
     on = ["_model"] + ([fold] if fold else [])
-    return (df.withColumn("_model", model).join(wide, on, "left").drop("_model")
+    return (df.withColumn("_model", model).join(counted_broadcast(wide), on, "left").drop("_model")
             .fillna(0.0, [f"{prefix}{label}" for label in labels]))
 
 
@@ -98,8 +102,7 @@ def profile_overlap(tails: DataFrame, top: DataFrame, by: list[str], n: int, key
         F.slice("tail", F.greatest(F.lit(1), F.size("tail") - (n - 1)), n), lambda row: row[value]))
     asked = (tails.select(*keys, *[b for b in by if b not in keys], own.alias("own"),
                           F.explode(F.array(*[F.lit(label) for label in labels])).alias("label")))
-    # One profile per label is a handful of rows.
-    scored = (asked.join(profiles if by else F.broadcast(profiles), [*by, "label"], "left")
+    scored = (asked.join(counted_broadcast(profiles, MAX_PROFILES), [*by, "label"], "left")
               .withColumn("overlap", F.coalesce(
                   F.size(F.array_intersect("own", "profile")) / F.size("profile"), F.lit(0.0))))
     return scored.groupBy(*keys).agg(*[

@@ -117,11 +117,13 @@ def _as_probes(moments: DataFrame) -> DataFrame:
 
 def tail_arrays(logs: DataFrame, faults: DataFrame, n: int = 50, payload=None,
                 prefilter: bool = True, slot_seconds: int = SLOT_SECONDS,
-                max_broadcast: int = MAX_BROADCAST_SECONDS) -> DataFrame:
+                max_broadcast: int = MAX_BROADCAST_SECONDS, horizon: int | None = None) -> DataFrame:
     """Faults with their last ``n`` logs as an array, oldest first.
 
     Adds ``pos`` (all logs up to the fault) and ``tail``; every fault is kept
-    and a fault without logs has an empty array. Two passes over the log:
+    and a fault without logs has an empty array. With ``horizon`` a tail only
+    holds rows of the so many seconds up to the fault, both ends included;
+    ``pos`` still counts all. Two passes over the log:
 
     1. Narrow: rows per second and their running totals. What is kept is a
        small table: ``pos`` of each moment, and the seconds that lie within
@@ -163,7 +165,10 @@ def tail_arrays(logs: DataFrame, faults: DataFrame, n: int = 50, payload=None,
     asked = (faults.drop("pos", "tail").join(positions, ["sn", "fault_ts"], "left")
              .withColumn("pos", F.coalesce("pos", F.lit(0)))
              .withColumn("block", F.floor((F.col("pos") - 1) / n)))
-    tail = F.filter("rows", lambda row: (row["rank"] <= F.col("pos")) & (row["rank"] > F.col("pos") - n))
+    def near_fault(row):
+        return F.lit(True) if horizon is None else F.col("fault_ts") - row["time_ts"] <= horizon
+
+    tail = F.filter("rows", lambda row: (row["rank"] <= F.col("pos")) & (row["rank"] > F.col("pos") - n) & near_fault(row))
     return (asked.join(blocks, ["sn", "block"], "left")
             .withColumn("tail", F.coalesce(tail, F.array().cast(blocks.schema["rows"].dataType)))
             .drop("block", "rows"))

@@ -1,4 +1,4 @@
 from .base import ORACLE, QUERIES
-from . import q_tables, q_scalars, q_joins, q_aggregates, q_windows, q_text, q_learning  # noqa: F401  (registration)
+from . import q_tables, q_scalars, q_joins, q_aggregates, q_windows, q_text, q_learning, q_stages  # noqa: F401  (registration)
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -66,10 +66,9 @@ def bounded_asof(spark, folder):
     logs = standin.logs(spark, folder)
     window = TL.window_totals(logs, standin.faults(spark, folder), {"window": 4 * 3600},
                               {"letters": F.length("msg_lower")})
-    tail = TL.tail_arrays(logs, window, 5, [])
-    recent = F.filter("tail", lambda row: F.col("fault_ts") - row["time_ts"] <= 4 * 3600)
+    tail = TL.tail_arrays(logs, window, 5, [], horizon=4 * 3600)
     return tail.select("fault_id", F.col("window_n").alias("n_window"), F.col("window_letters").alias("letters"),
-                       F.array_join(F.transform(recent, lambda row: row["row_id"].cast("string")), ",")
+                       F.array_join(F.transform("tail", lambda row: row["row_id"].cast("string")), ",")
                        .alias("newest5"))
 
 
@@ -138,23 +137,3 @@ def dictionary_lookup(spark, folder):
              .filter(~F.col("msg_lower").startswith("view")).withColumn("template", mask("msg_lower")))
     return (lookup(log, known, "msg_lower", ["template"], weight="n_rows")
             .select("row_id", F.coalesce("template", F.lit("None")).alias("template")))
-
-
-@query("i16_feature_assembly", """
-, every AS (SELECT fault_id, sn, fault_ts, label, 'train' AS part FROM faults
-  UNION ALL SELECT fault_id, sn, fault_ts, NULL, 'test' FROM submit),
-pr AS (SELECT e.fault_id, l.*, row_number() OVER (PARTITION BY e.fault_id ORDER BY l.time DESC, l.row_id DESC) AS back
-  FROM every e JOIN logs l ON l.sn = e.sn AND l.time_ts <= e.fault_ts)
-SELECT e.part, e.fault_id, e.label, count(pr.row_id) FILTER (WHERE back <= 20) AS cnt_tail20,
-       coalesce(CAST(max(msg_id) FILTER (WHERE back = 1) AS VARCHAR), 'NULL') AS last_msg_id,
-       e.fault_ts - max(time_ts) FILTER (WHERE back = 1) AS second_span0_tail20
-FROM every e LEFT JOIN pr USING (fault_id) GROUP BY e.part, e.fault_id, e.label, e.fault_ts""")
-def feature_assembly(spark, folder):
-    """The same features for labelled and unlabelled rows, in one pass."""
-    train = standin.faults(spark, folder).withColumn("part", F.lit("train"))
-    test = (standin.submit(spark, folder).withColumn("label", F.lit(None).cast("int"))
-            .withColumn("part", F.lit("test")))
-    both = tails(spark, folder, 20, train.unionByName(test))
-    both = both.withColumn("age", TF.ages("tail"))
-    return both.select("part", "fault_id", "label", F.size("tail").cast("bigint").alias("cnt_tail20"),
-                       TF.last_ids("tail")[0], TF.age_features("age")[1])

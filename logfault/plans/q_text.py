@@ -185,7 +185,7 @@ def long_form(df, key, vector):
 def fault_vectors(spark, folder, tails=None):
     """Mean vectors of the tails, which are written as the operator reads them twice."""
     tails = materialise(plain_tails(spark, folder), "tails") if tails is None else tails
-    return E.mean_vectors(tails, ["fault_id"], E.tail_tokens(), word_vectors(spark, folder), SIZE)
+    return E.tail_mean_vectors(tails, ["fault_id"], word_vectors(spark, folder), SIZE)
 
 
 @query("h11_mean_vector", _VECTORS + "SELECT fault_id, dim, round(x, 6) AS x FROM fvec")
@@ -286,9 +286,8 @@ def cosine_to_centroids(spark, folder):
     df = materialise(_model_vectors(spark, folder, tails), "vectors")
     labels = E.label_centroids(tails, word_vectors(spark, folder), SIZE)
     models = E.weighted_mean(df, ["server_model"], out="centroid")
-    scored = E.compare_to_labels(df, labels, ["fault_id"])
-    own = E.compare_to_groups(df, models, "server_model").select("fault_id", "cos_sim_server_model")
-    return scored.join(own, "fault_id").select("fault_id", *[
+    own = E.compare_to_groups(df, models, "server_model")
+    return E.compare_to_labels(own, labels, ["fault_id", "cos_sim_server_model"]).select("fault_id", *[
         F.round(c, 6).alias(c) for c in [*(f"cos_sim_label{i}" for i in range(4)), "cos_sim_server_model"]])
 
 
@@ -302,9 +301,10 @@ def other_distances(spark, folder):
     tails = materialise(plain_tails(spark, folder), "tails")
     df = materialise(_model_vectors(spark, folder, tails), "vectors")
     labels = E.label_centroids(tails, word_vectors(spark, folder), SIZE)
-    far = E.compare_to_labels(df, labels, ["fault_id"], measure=V.euclidean, prefix="dist_label")
-    near = E.compare_to_labels(df, labels, ["fault_id"], measure=V.pearson, prefix="p_label")
-    return far.join(near, "fault_id").select("fault_id", *[
+    labels = materialise(labels, "centroids")
+    far = E.compare_to_labels(df, labels, ["fault_id", "vector"], measure=V.euclidean, prefix="dist_label")
+    near = E.compare_to_labels(far, labels, [c for c in far.columns if c != "vector"], measure=V.pearson, prefix="p_label")
+    return near.select("fault_id", *[
         F.round(f"{name}_label{i}", 6).alias(f"{name}_label{i}") for i in range(4) for name in ("dist", "p")])
 
 

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import tail_features as TF
 from ..functions.cleaning import list_length, normalise_messages, words
 from ..functions.clock import epoch_seconds
+from ..functions.measures import ratio_or_null
 from ..functions.vectors import spread_columns
 from ..learning import folds, two_stage as TS
 from ..operators import documents as D, embeddings as E, factors as X, profiles as P, templates as T, timeline as TL
 from ..operators.lookup import lookup
 from ..operators.ranking import ids_by_first_appearance
 from ..operators.relational import fill_text
+from ..sources import readers as R
+from ..sources.readers import union_all
 from ..sources.schemas import CATEGORICAL_FEATURES, KEY_COLUMNS
 from ..sources.scratch import materialise
 
@@ -26,6 +29,8 @@ DAY = 86_400
 BUCKET = 1_800
 TAIL, LONG_TAIL = 20, 50
 VECTOR_SIZE = 64
+#: Seconds of the recency counts and of the short feature set.
+RECENT, SHORT = (300, 600, 1_800, 3_600), 14_400
 
 
 def template_logs(logs: DataFrame, known: DataFrame | None = None, **mining):
@@ -88,19 +93,25 @@ def _context(events: DataFrame) -> DataFrame:
 
 def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venus: DataFrame, text: TextModels,
                    size: int = VECTOR_SIZE, components: int = X.COMPONENTS, fold: str | None = None,
-                   n_folds: int = 10, shape: bool = False) -> DataFrame:
+                   n_folds: int = 10, blocks: tuple[str, ...] = (), horizon: int | None = None) -> DataFrame:
     """One row of features per fault, labelled or not.
 
     The tails are built once and written; every feature block reads them.
     With ``fold`` (a column of ``faults``, null for rows to predict) the label
-    shares of a training row leave out its own fold. ``shape`` adds skew and
-    kurtosis of the gaps.
+    shares of a training row leave out its own fold. ``blocks`` names optional
+    features: ``shape`` (skew and kurtosis of the gaps), ``keywords`` (spans
+    by first word), ``recency`` (logs of the last minutes), ``series`` (the
+    gaps as a time series). With ``horizon`` only logs of the so many seconds
+    up to a fault count, :data:`SHORT` for the four-hour set.
     """
-    tails = TL.tail_arrays(log, faults, LONG_TAIL, ["msg_id", "template_id", "msg_lower", "server_model"])
+    unknown = set(blocks) - {"shape", "keywords", "recency", "series"}
+    if unknown:
+        raise ValueError(f"no such blocks: {sorted(unknown)}")
+    tails = TL.tail_arrays(log, faults, LONG_TAIL, ["msg_id", "template_id", "msg_lower", "server_model"], horizon=horizon)
     tails = materialise(tails.withColumn("t20", TL.last_n("tail", TAIL)), "tails")
     id_ = ["fault_id"]
 
-    vectors = E.mean_vectors(tails.select("fault_id", "t20"), id_, E.tail_tokens("t20"), text.word_vectors, size)
+    vectors = E.tail_mean_vectors(tails.select("fault_id", "t20"), id_, text.word_vectors, size, "t20")
     terms = D.term_counts(tails.select("fault_id", E.tail_text("t20").alias("text")), id_, "text", 1, 3)
     topics = X.project(terms, text.components, tails.select("fault_id"), id_, components)
     labelled = faults.filter(F.col("label").isNotNull())
@@ -122,7 +133,13 @@ def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venu
         "fault_id", "sn", "fault_time", "label", "server_model", *TF.last_ids("tail"),
         *TF.statistics("t20", "tail"), *TF.age_features("age"), *TF.gap_features("gap"), *TF.span_features("age"),
         *TF.top_values("t20", "template_id", "tmp", numeric=False), *TF.top_values("t20", "msg_id", "msg"),
-        *TF.longest_run("t20"), *TF.last_template_frequency("t20"), *(TF.gap_shape("gap") if shape else ()))
+        *TF.longest_run("t20"), *TF.last_template_frequency("t20"), *(TF.gap_shape("gap") if "shape" in blocks else ()),
+        *(TF.keyword_spans("t20") if "keywords" in blocks else ()), *(TF.gap_series("gap") if "series" in blocks else ()))
+    if "recency" in blocks:
+        spans = {f"w{t}": t for t in RECENT}
+        recent = TL.window_totals(log, faults.select("fault_id", "sn", "fault_ts"), spans)
+        own = own.join(recent.select("fault_id", *[c for t in RECENT for c in (
+            F.coalesce(f"w{t}_n", F.lit(0)).alias(f"log_cnt_{t}"), ratio_or_null(f"w{t}_n", "pos").alias(f"log_precent_{t}"))]), id_)
     return (own
             .join(vectors.select("fault_id", *spread_columns("vector", "w2v", size)), id_)
             .join(with_shares.drop("_first"), id_)
@@ -142,20 +159,47 @@ def train_and_predict(features: DataFrame, n_folds: int = 10, fold_kinds=("strat
 
     ``fold_kinds``: any of ``stratified``, ``sn``, ``server_model``; the
     probabilities of several runs are averaged. Returns ``(answers,
-    out_of_fold, importance)``, the last two of the last run.
+    out_of_fold, importance)``, the last two with the ``run`` they are of.
     """
     settings = feature_settings(features, **options)
     train = materialise(features.filter(F.col("label").isNotNull()), "train")
     test = materialise(features.filter(F.col("label").isNull()), "test")
-    runs = []
+    runs, helds, importances = [], [], []
     for kind in fold_kinds:
         folded = (folds.stratified_folds(train, "label", "fault_id", n_folds) if kind == "stratified"
                   else folds.group_folds(train, kind, n_folds))
         held, mean, importance = TS.cross_train(folded, test, settings, ["fault_id"], n_folds)
         runs.append(mean)
-    both = runs[0]
-    for run in runs[1:]:
-        both = both.unionByName(run)
-    blended = TS.decide(TS.average_probabilities(both, ["fault_id"]), "answer")
+        helds.append(held.withColumn("run", F.lit(kind)))
+        importances.append(importance.withColumn("run", F.lit(kind)))
+    blended = TS.decide(TS.average_probabilities(union_all(runs), ["fault_id"]), "answer")
     answers = test.select("fault_id", "sn", "fault_time").join(blended.select("fault_id", "answer"), "fault_id")
-    return answers.select("sn", "fault_time", F.col("answer").alias("label")), held, importance
+    return answers.select("sn", "fault_time", F.col("answer").alias("label")), union_all(helds), union_all(importances)
+
+
+def run(spark: SparkSession, folder: str, out: str, stage: str | None = None, final_folder: str | None = None,
+        known: DataFrame | None = None, blocks: tuple[str, ...] = (), horizon: int | None = None, **options) -> DataFrame:
+    """From a folder of CSV files to a folder of results: all three stages.
+
+    Reads the files that belong to ``stage`` (those of the final rounds from
+    ``final_folder``) and writes below ``out``: ``templates``, ``log``,
+    ``features``, ``out_of_fold``, ``importance`` and, as CSV, ``answers``.
+    Returns the answers.
+    """
+    read = {kind: R.read_stage(spark, folder, stage, kind, final_folder) for kind in ("logs", "labels", "submit", "crashdump", "venus")}
+
+    def kept(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
+        R.write_table(df, f"{out}/{name}", fmt)
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}") if fmt == "parquet" else df
+
+    log, templates = template_logs(read["logs"], known)
+    kept(templates, "templates")
+    log = kept(log, "log")
+    faults = prepare_faults(read["labels"], read["submit"], log)
+    sizes = {k: options.pop(k) for k in ("size", "components") if k in options}
+    features = kept(build_features(log, faults, read["crashdump"], read["venus"], fit_text(log, **sizes), blocks=blocks,
+                                   horizon=horizon, **sizes), "features")
+    answers, held, importance = train_and_predict(features, **options)
+    kept(held, "out_of_fold")
+    kept(importance, "importance")
+    return kept(answers, "answers", "csv")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def build_session(app: str = "logfault", master: str | None = None,
                   shuffle_partitions: int | None = None, **conf) -> SparkSession:
@@ -16,6 +20,8 @@ def build_session(app: str = "logfault", master: str | None = None,
     is under Spark's own threshold.
     """
     builder = SparkSession.builder.appName(app)
+    # Python workers of a local session import the library from here, whatever the working directory.
+    builder = builder.config("spark.executorEnv.PYTHONPATH", _ROOT)
     if master:
         builder = builder.master(master)
     settings = {
@@ -30,7 +36,16 @@ def build_session(app: str = "logfault", master: str | None = None,
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship_code(spark)
+    return spark
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors of a running session, for clusters on which it is not installed."""
+    folder = tempfile.mkdtemp(prefix="logfault-code-")  # Spark copies the archive from the driver
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/logfault", "zip", _ROOT, "logfault"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

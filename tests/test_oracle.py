@@ -12,7 +12,7 @@ FAST = ["a01_csv_scan", "a03_stage_sources", "a06_fold_files", "b02_distinct_row
         "e08_top_values", "e11_skew_kurtosis", "e17_profile_overlap", "e19_exclusion_count",
         "f08_longest_run_strict", "g02_benford", "g09_sample_entropy", "h02_template_match",
         "h12_tfidf_mean_vector", "h16_cosine_to_centroids", "h20_untailed_terms", "i02_stratified_folds",
-        "i03_group_folds", "i12_class_report"]
+        "i03_group_folds", "i12_class_report", "h09_svd_audit", "h10_word_embedding", "i13_oversample_audit", "i16_feature_assembly"]
 
 
 @pytest.mark.parametrize("name", FAST)
