@@ -9,7 +9,7 @@ from ..sources import standin
 from . import q_aggregates, q_joins, q_windows  # noqa: F401  (their SQL is read below)
 from .base import BASE_SQL, ORACLE, query
 from .q_aggregates import tidy
-from .stages import build_features, fit_text
+from .stages import build_features
 
 #: Queries whose SQL states one block of the table each, with the columns that bear another name there.
 _BLOCKS = ["e05_share_columns", "e07_tail_statistics", "e08_top_values", "e09_last_template", "e10_gap_moments", "e13_recency_counts",
@@ -42,7 +42,5 @@ def feature_assembly(spark, folder):
     faults = attach_model(labelled.unionByName(asked), log)
     crash = standin.crashdump(spark, folder).select("sn", F.col("time").alias("fault_time"))
     venus = standin.venus(spark, folder).select("sn", F.col("time").alias("fault_time"), "module")
-    text = fit_text(log, size=8, components=4)
-    made = build_features(log, faults, crash, venus, text, 8, 4, blocks=("shape", "recency", "series"))
-    learned = [c for c in made.columns if c.startswith(("w2v", "tfv"))]
-    return tidy(made.drop(*learned, "sn", "fault_time", "server_model"))
+    made = build_features(log, faults, crash, venus, None, blocks=("shape", "recency", "series"))
+    return tidy(made.drop("sn", "fault_time", "server_model"))

@@ -91,7 +91,7 @@ def _context(events: DataFrame) -> DataFrame:
     return named.withColumn("row_id", F.xxhash64(*named.columns)).withColumn("time_ts", epoch_seconds("time"))
 
 
-def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venus: DataFrame, text: TextModels,
+def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venus: DataFrame, text: TextModels | None,
                    size: int = VECTOR_SIZE, components: int = X.COMPONENTS, fold: str | None = None,
                    n_folds: int = 10, blocks: tuple[str, ...] = (), horizon: int | None = None) -> DataFrame:
     """One row of features per fault, labelled or not.
@@ -102,7 +102,8 @@ def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venu
     features: ``shape`` (skew and kurtosis of the gaps), ``keywords`` (spans
     by first word), ``recency`` (logs of the last minutes), ``series`` (the
     gaps as a time series). With ``horizon`` only logs of the so many seconds
-    up to a fault count, :data:`SHORT` for the four-hour set.
+    up to a fault count, :data:`SHORT` for the four-hour set. Without
+    ``text`` the learned columns are left out.
     """
     unknown = set(blocks) - {"shape", "keywords", "recency", "series"}
     if unknown:
@@ -111,9 +112,6 @@ def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venu
     tails = materialise(tails.withColumn("t20", TL.last_n("tail", TAIL)), "tails")
     id_ = ["fault_id"]
 
-    vectors = E.tail_mean_vectors(tails.select("fault_id", "t20"), id_, text.word_vectors, size, "t20")
-    terms = D.term_counts(tails.select("fault_id", E.tail_text("t20").alias("text")), id_, "text", 1, 3)
-    topics = X.project(terms, text.components, tails.select("fault_id"), id_, components)
     labelled = faults.filter(F.col("label").isNotNull())
     shares = P.label_shares(labelled)
     first_model = F.get(F.col("t20"), F.lit(0))["server_model"]
@@ -140,10 +138,14 @@ def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venu
         recent = TL.window_totals(log, faults.select("fault_id", "sn", "fault_ts"), spans)
         own = own.join(recent.select("fault_id", *[c for t in RECENT for c in (
             F.coalesce(f"w{t}_n", F.lit(0)).alias(f"log_cnt_{t}"), ratio_or_null(f"w{t}_n", "pos").alias(f"log_precent_{t}"))]), id_)
+    if text is not None:
+        vectors = E.tail_mean_vectors(tails.select("fault_id", "t20"), id_, text.word_vectors, size, "t20")
+        terms = D.term_counts(tails.select("fault_id", E.tail_text("t20").alias("text")), id_, "text", 1, 3)
+        topics = X.project(terms, text.components, tails.select("fault_id"), id_, components)
+        own = (own.join(vectors.select("fault_id", *spread_columns("vector", "w2v", size)), id_)
+               .join(topics.select("fault_id", *spread_columns("tfv", "tfv", components)), id_))
     return (own
-            .join(vectors.select("fault_id", *spread_columns("vector", "w2v", size)), id_)
             .join(with_shares.drop("_first"), id_)
-            .join(topics.select("fault_id", *spread_columns("tfv", "tfv", components)), id_)
             .join(crashes.select("fault_id", "crashdump_cnt"), id_)
             .join(modules.select("fault_id", module_count), id_))
 
