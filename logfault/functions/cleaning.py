@@ -81,6 +81,7 @@ _HEADS = [
     ("memory mem_ch", "memory mem_ch"),
     ("power supply #0", "power supply hex"),
 ]
+# Fixed values.
 OEM_MARK = "oem record"
 OEM_INSIDE = "hex | oem record hex | seq"
 

@@ -16,6 +16,7 @@ from .cleaning import safe_split, words
 from .measures import ratio_or_null, ratio_or_zero
 from .vectors import let, pearson, total
 
+# Fixed values.
 KEYWORDS = ("memory", "microcontroller", "processor", "system", "unknown")
 HOUR = 3_600
 

@@ -133,6 +133,8 @@ def build_features(log: DataFrame, faults: DataFrame, crashdump: DataFrame, venu
         *TF.top_values("t20", "template_id", "tmp", numeric=False), *TF.top_values("t20", "msg_id", "msg"),
         *TF.longest_run("t20"), *TF.last_template_frequency("t20"), *(TF.gap_shape("gap") if "shape" in blocks else ()),
         *(TF.keyword_spans("t20") if "keywords" in blocks else ()), *(TF.gap_series("gap") if "series" in blocks else ()))
+    # Written before the joins, so that their plans are re-optimised without these expressions.
+    own = materialise(own, "own")
     if "recency" in blocks:
         spans = {f"w{t}": t for t in RECENT}
         recent = TL.window_totals(log, faults.select("fault_id", "sn", "fault_ts"), spans)

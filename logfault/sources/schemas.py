@@ -17,7 +17,7 @@ VENUS = _schema(("sn", T.StringType()), ("fault_time", T.TimestampType()),
                 ("module", T.StringType()))
 IMPORTANCE = _schema(("importance", T.DoubleType()), ("feature", T.StringType()))
 
-# Columns of the feature table that are identifiers and stay strings.
+# Columns of the feature table that are identifiers and stay strings. Fixed values.
 CATEGORICAL_FEATURES = (
     "server_model", "last_msg_id", "last_template_id",
     "tmp_appearance_1", "tmp_appearance_2", "tmp_appearance_3",
