@@ -13,7 +13,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -22,21 +24,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _written: list[str] = []
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Remove the tables that :func:`materialise` has written in this process.
+def scratch_mark() -> int:
+    """A mark for :func:`drop_scratch`: what is written later lies behind it."""
+    return len(_written)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Remove the folders that were asked for in this process, those behind the mark ``since``.
 
-    To be called when no frame that reads them is needed any more; returns
-    the number of tables removed.
+    To be called when no frame that reads them is needed any more, but for
+    the last one with ``keep_last``; returns the number of folders removed.
     """
+    kept = _written[-1:] if keep_last else []
+    gone = _written[since:len(_written) - len(kept)]
+    _written[since:] = kept
     removed = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in reversed(gone):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return removed
