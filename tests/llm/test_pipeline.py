@@ -128,4 +128,7 @@ def test_packing(stages):
 
 
 def test_run(spark, stages):
+    from logfault.sources import scratch
+    before = scratch.scratch_mark()
     assert corpus_pipeline.run(spark, FOLDER).count() == stages[5].count()
+    assert scratch.scratch_mark() == before + 1  # nothing but the result is left
