@@ -205,20 +205,25 @@ def links(points: DataFrame, bits: int = BITS, cell: int = CELL) -> DataFrame:
     """
     cells = (points.select("point", count_pairs("point").alias("counts"))
              .select("point", F.explode(cell_keys("counts", bits)).alias("cell")))
+    dealt = deal_cells(cells, "point", cell).select("cell", "point", "block")
+    return (dealt.repartition("cell", "block").sortWithinPartitions("cell", "block")
+            .mapInArrow(_links(bits), "a long, b long").distinct())
+
+
+def deal_cells(cells: DataFrame, member: str, cell: int = CELL) -> DataFrame:
+    """``cells`` with a column ``block``; a cell of more than ``cell`` members is split into blocks that meet pairwise."""
     # Which cells are split changes only the division of work, so an estimate will do.
     crowded = materialise(
-        cells.filter(F.pmod(F.xxhash64("point"), F.lit(PROBE)) == 0).groupBy("cell").count()
+        cells.filter(F.pmod(F.xxhash64(member), F.lit(PROBE)) == 0).groupBy("cell").count()
         .filter(F.col("count") * PROBE > cell)
         .select(F.col("cell").alias("cell_"), F.ceil(F.col("count") * PROBE / (cell // 2)).cast("long").alias("blocks")),
         "crowded")
     joined = cells.join(crowded, F.col("cell") == F.col("cell_"), "left")
-    own = F.pmod(F.xxhash64("point", F.lit(1)), F.col("blocks"))
+    own = F.pmod(F.xxhash64(member, F.lit(1)), F.col("blocks"))
     met = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
                     lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)))
-    dealt = joined.select("cell", "point", F.explode(met).alias("block"))
-    return (dealt.repartition("cell", "block").sortWithinPartitions("cell", "block")
-            .mapInArrow(_links(bits), "a long, b long").distinct())
+    return joined.select(*cells.columns, F.explode(met).alias("block"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS,
@@ -262,8 +267,13 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = materialise(df.select(F.col(id_col).cast("long").alias("doc_id"), point.alias("point"),
                                    F.xxhash64(text_of(text_col)).alias("tag")), "fingerprints")
     kept = (_grouped(prints, bits, CELL).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.first(F.coalesce("doc_id", F.lit(NO_ID))).alias("_key"), F.min("tag").alias("_tag"))
-            .select("_key", "_tag"))
+            .groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("tag").alias("tag")))
+    return keep_rows(df, kept, id_col, text_col)
+
+
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id and text hash are in ``kept`` (``doc_id, tag``), of repeated rows one."""
+    kept = kept.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.col("tag").alias("_tag"))
     # The user's columns travel in a struct, so no name can clash.
     rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
     left = df.select(row_key(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("text"), rest.alias("rest"))
