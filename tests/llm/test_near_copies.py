@@ -121,6 +121,27 @@ def test_forest_connects_what_is_close():
     assert len(tree[0]) < (1 + N.HUBS) * len(points)
 
 
+def test_rounds_change_no_group(spark):
+    """Pairs left out because they are connected: same groups as with one round, fewer comparisons."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(100 * g + i, " ".join(edited(rng, base, 0.02 * (i % 12) + 0.01))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    nodes = (docs.select("doc_id", N.F.lit(0).cast("long").alias("tag"), "text").mapInArrow(N._nodes(5), N._NODES)
+             .drop("doc_id", "tag").dropDuplicates(["node"]))
+    nodes = N.materialise(nodes, "nodes")
+    one, several = (sorted(map(tuple, N.near_groups(nodes, rounds=r).select("node", "root").collect())) for r in ((), (6, 12, 20)))
+    assert one == several and one
+    pairs = N.candidates(nodes)
+    groups = N.near_groups(nodes, bits=12)
+    root = dict(map(tuple, groups.select("node", "root").collect()))
+    left = {tuple(r) for r in N.between_groups(pairs, groups).collect()}
+    assert left == {(r.a, r.b) for r in pairs.collect() if root.get(r.a, r.a) != root.get(r.b, r.b)}
+    assert len(left) < pairs.count()
+
+
 def test_odd_rows(spark):
     rows = [(3, "a b c", "x"), (1, "A\tB  c", "y"), (2, None, "z"), (4, "", "z"), (5, " \n", "z"), (None, "a b c", "n"), (None, "alone here", "n"),
             (None, "alone here", "n"), (6, "word " * 200_000, "l"), (7, "word " * 200_001, "l"), (8, "a b d", "x"), (8, "a b d", "x")]
