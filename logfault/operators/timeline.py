@@ -253,6 +253,8 @@ def look_ahead(logs: DataFrame, faults: DataFrame, slot_seconds: int = SLOT_SECO
 
 RADIX = 8
 LEVELS = 12
+#: Block sizes made from one list.
+LEVELS_AT_ONCE = 6
 
 
 def _blocks_before(end, level: int):
@@ -264,27 +266,53 @@ def _blocks_before(end, level: int):
                        lambda j: F.struct(F.lit(level).alias("level"), (first + j).alias("block")))
 
 
+def _newest_by_block(logs: DataFrame, n: int) -> DataFrame:
+    """``sn, level, block, row_id, time_ts``: the ``n`` newest arrivals of each block of each size.
+
+    Rolled up: a few sizes at a time come from the cut lists of the largest
+    block before them, so a busy server is a few rows after the first step.
+    """
+    newest = [F.col("row_id").desc()]
+    cut = last_per_group(logs.select("sn", "time_ts", "row_id"), ["sn", "time_ts"], newest, n).drop("age_rank")
+    lists = materialise(cut.select("sn", F.lit(0).alias("level"), F.col("time_ts").cast("long").alias("block"), "row_id", "time_ts"),
+                        "blocks")
+    found = [lists]
+    for low in range(1, LEVELS, LEVELS_AT_ONCE):
+        sizes = range(low, min(low + LEVELS_AT_ONCE, LEVELS))
+        sized = F.explode(F.array(*[F.struct(F.lit(level).alias("level"),
+                                             F.floor(F.col("time_ts") / RADIX ** level).alias("block"))
+                                    for level in sizes]))
+        lists = (lists.select("sn", "row_id", "time_ts", sized.alias("b"))
+                 .select("sn", "b.level", "b.block", "row_id", "time_ts"))
+        lists = materialise(last_per_group(lists, ["sn", "level", "block"], newest, n).drop("age_rank"), "blocks")
+        found.append(lists)
+        lists = lists.filter(F.col("level") == sizes[-1])
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def tail_by_arrival(logs: DataFrame, faults: DataFrame, n: int, payload) -> DataFrame:
     """Of the logs up to the fault second, the ``n`` that arrived last.
 
     Arrival order and time order may differ, so ranks on the timeline do not
     answer this. Time is cut into blocks of 1, 8, 64, ... seconds; each block
     keeps its ``n`` newest arrivals, and the time before a fault is a union of
-    at most 7 blocks of each size. One row per fault and log; faults without
-    logs give none.
+    at most 7 blocks of each size. Only row ids move until the rows are known;
+    the ``payload`` is joined to these at the end. One row per fault and log;
+    faults without logs give none.
     """
-    sized = F.explode(F.array(*[F.struct(F.lit(level).alias("level"),
-                                         F.floor(F.col("time_ts") / RADIX ** level).alias("block"))
-                                for level in range(LEVELS)]))
     newest = F.col("row_id").desc()
     logs = restrict_to_servers(logs, distinct_moments(faults))
-    narrow = last_per_group(logs.select("sn", "time_ts", "row_id", *payload), ["sn", "time_ts"], [newest], n)
-    blocks = (narrow.select("sn", "row_id", *payload, sized.alias("b"))
-              .select("sn", "row_id", *payload, "b.level", "b.block"))
-    blocks = last_per_group(blocks, ["sn", "level", "block"], [newest], n).drop("age_rank")
     cover = F.concat(*[_blocks_before(F.col("fault_ts") + 1, level) for level in range(LEVELS)])
     moments = (distinct_moments(faults).select("sn", "fault_ts", F.explode(cover).alias("c"))
                .select("sn", "fault_ts", "c.level", "c.block"))
-    found = moments.join(blocks, ["sn", "level", "block"])
+    found = moments.join(_newest_by_block(logs, n), ["sn", "level", "block"])
     kept = last_per_group(found, ["sn", "fault_ts"], [newest], n, "back").drop("level", "block")
-    return faults.join(kept, ["sn", "fault_ts"])
+    if not payload:
+        return faults.join(kept.drop("time_ts"), ["sn", "fault_ts"])
+    kept = materialise(kept, "arrivals")
+    near = _near_rows(logs.select("sn", "time_ts", "row_id", *payload), kept.select("sn", "time_ts"), MAX_BROADCAST_SECONDS)
+    rows = kept.join(near, ["sn", "time_ts", "row_id"]).select("sn", "fault_ts", "row_id", *payload, "back")
+    return faults.join(rows, ["sn", "fault_ts"])

@@ -30,10 +30,10 @@ def tails(spark, folder, n=50, faults=None):
 
 @query("d01_lookup_join", """
 , models AS (SELECT DISTINCT sn, CASE WHEN k = 3 THEN 'x' ELSE '' END || 'sm' || (user_id % 12) AS server_model
-             FROM ev WHERE event_type = 'click')
+             FROM ev)
 SELECT fault_id, coalesce(server_model, 'MISSING') AS server_model FROM faults LEFT JOIN models USING (sn)""")
 def lookup_join(spark, folder):
-    models = (standin.events(spark, folder).filter(F.col("event_type") == "click")
+    models = (standin.events(spark, folder)
               .select("sn", F.concat(F.when(F.col("k") == 3, "x").otherwise(""), F.lit("sm"),
                                      (F.col("user_id") % 12).cast("string")).alias("server_model")))
     return P.attach_model(standin.faults(spark, folder), models).select("fault_id", "server_model")
@@ -96,11 +96,10 @@ def interval_latest(spark, folder):
 
 @query("d07_look_ahead", """
 SELECT f.fault_id, count(l.row_id) AS post_cnt, coalesce(min(l.time_ts) - any_value(f.fault_ts), 0) AS post_span
-FROM faults f LEFT JOIN plain_logs l ON l.sn = f.sn AND l.time_ts >= f.fault_ts AND l.msg_lower NOT LIKE 'error%'
+FROM faults f LEFT JOIN plain_logs l ON l.sn = f.sn AND l.time_ts >= f.fault_ts
 GROUP BY f.fault_id""")
 def look_ahead(spark, folder):
-    logs = standin.logs(spark, folder).filter(~F.col("msg_lower").startswith("error"))
-    return TL.look_ahead(logs, standin.faults(spark, folder)).select("fault_id", "post_cnt", "post_span")
+    return TL.look_ahead(standin.logs(spark, folder), standin.faults(spark, folder)).select("fault_id", "post_cnt", "post_span")
 
 
 @query("d08_key_join", """

@@ -84,6 +84,23 @@ def test_tail_by_arrival(spark):
         assert got.get(fid, set()) == set(want)
 
 
+def test_tail_by_arrival_payload(spark, monkeypatch):
+    """The payload is that of its row, in order of arrival, for any number of sizes made at once."""
+    logs, faults = _random(8)
+    logs = [(a, b * 40, c, (i * 7919) % 10007) for a, b, c, i in logs]
+    faults = [(f, sn, s * 40) for f, sn, s in faults]
+    table = _logs(spark, logs).withColumn("word", F.concat(F.lit("w"), F.col("row_id").cast("string")))
+    want = {}
+    for fid, sn, s in faults:
+        newest = sorted((r[3] for r in logs if r[0] == sn and r[1] <= s), reverse=True)[:10]
+        want |= {(fid, back + 1): f"w{row}" for back, row in enumerate(newest)}
+    for at_once in (1, 6, 20):
+        monkeypatch.setattr(TL, "LEVELS_AT_ONCE", at_once)
+        rows = TL.tail_by_arrival(table, _faults(spark, faults), 10, ["word"])
+        assert rows.columns[-3:] == ["row_id", "word", "back"]
+        assert {(r["fault_id"], r["back"]): r["word"] for r in rows.collect()} == want
+
+
 def test_borders(spark):
     """Same second kept, one second later dropped; 24 h inclusive."""
     logs = _logs(spark, [("a", 10, 900_000, 1), ("a", 11, 0, 2)])
