@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialise
+from ..sources.scratch import drop_scratch, materialise, scratch_mark
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -32,10 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     long. Rounds grow with the logarithm of the longest path. Links to
     oneself and repeated links do no harm; nodes without links get no row.
     """
+    mark = scratch_mark()
     edges = materialise(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "links")
     state = None
     while True:
         edges = materialise(_star(_star(edges, small=False), small=True), "stars")
+        drop_scratch(edges.sparkSession, mark, keep_last=True)  # the round before
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -15,8 +15,9 @@ A cell of few points gives all its close pairs. A larger one holds a group of
 copies and gives a minimum spanning forest of its close pairs, nearest first,
 and the close pairs of the few points in the middle of each group, so a group
 makes a few links per text, in each cell other ones.
-Which pairs are found is a matter of chance and distance (the README has the
-measured recall); no pair below the threshold is ever linked.
+Which pairs this finds is a matter of chance and distance, so an exact search
+by rare shingles (:mod:`rare_shingles`) follows for all that is not connected
+yet: no pair at the threshold is lost, and none below it is ever linked.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialise
+from ..sources.scratch import drop_scratch, materialise, scratch_mark
 from .common import text_of
 from .components import components
+from .rare_shingles import marks_of, open_pairs, rare_first, survivors
 from .simhash import CELL, SEED, count_pairs, deal_cells, keep_rows
 
 #: Words in a shingle, and the likeness at which texts are near copies.
@@ -46,10 +48,10 @@ BITS = 32
 ROUNDS = (10, 14, 18, 22)
 #: Points that share a cell by chance.
 FILL = 48
-#: Cells per point are this many times the inverse chance that a pair at the threshold agrees in one.
-COVER = 5
+#: Cells per point are this many times the inverse chance that a pair at the threshold agrees in one; the exact search finds the rest.
+COVER = 2
 #: Cells per point at least.
-LEAST = 32
+LEAST = 12
 #: Points of a cell whose close pairs are all given.
 SMALL = 128
 #: Points of a group in a larger cell that link to all of it.
@@ -297,6 +299,26 @@ def near_groups(nodes: DataFrame, similarity: float = SIMILARITY, bits: int = BI
     return groups
 
 
+def all_groups(nodes: DataFrame, similarity: float = SIMILARITY, bits: int = BITS, cell: int = CELL) -> DataFrame:
+    """``node, root``: what all links between alike ``nodes`` connect, found by SimHash or not.
+
+    Sets that cannot be alike to any other take no part. What the cells have
+    not connected is compared where rare shingles meet: first each set with
+    the nearest of every other group, then all pairs that are still open.
+    """
+    may_link = materialise(survivors(nodes.select("node", "point", "other", "grams"), similarity), "survivors")
+    groups = near_groups(may_link, similarity, bits, cell)
+    shingles, marks = materialise(rare_first(may_link, similarity), "shingles"), materialise(marks_of(may_link), "marks")
+    for nearest in (True, False):
+        pairs = open_pairs(shingles, marks, groups, similarity, nearest, cell)
+        if nearest:  # of all that met in the cells, too
+            pairs = pairs.groupBy("a", "root_b").agg(F.min(F.struct("bits", "b")).alias("one")).select("a", F.col("one.b").alias("b"))
+        links = materialise(alike(pairs.select("a", "b"), may_link, similarity), "exact")
+        if not links.isEmpty():
+            groups = components(links.union(groups.select("node", "root")))
+    return groups
+
+
 def first_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                          bits: int = BITS, width: int = SHINGLE, cell: int = CELL) -> DataFrame:
     """``df`` with one row of each group of near copies: that with the smallest id.
@@ -308,6 +330,7 @@ def first_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str =
     stays. Rows with a null id stay only if no row of their group has an id,
     one for each group. An empty table stays empty. All columns stay.
     """
+    mark = scratch_mark()
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tag"),
                       text_of(text_col).alias("text"))
     prints = materialise(texts.mapInArrow(_nodes(width), _NODES), "prints")
@@ -315,8 +338,11 @@ def first_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str =
     # Copies are combined before the shuffle, however many there are.
     nodes = materialise(prints.groupBy("node").agg(least, F.first("point").alias("point"), F.first("other").alias("other"),
                                                       F.first("grams").alias("grams")), "nodes")
-    roots = near_groups(nodes, similarity, bits, cell).withColumnRenamed("node", "node_")
+    drop_scratch(df.sparkSession, mark, keep_last=True)  # the prints
+    roots = all_groups(nodes, similarity, bits, cell).withColumnRenamed("node", "node_")
     kept = (nodes.select("node", "least").join(roots, F.col("node") == F.col("node_"), "left")
             .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
             .select(F.col("least.doc_id").alias("doc_id"), F.col("least.tag").alias("tag")))
+    kept = materialise(kept, "kept")
+    drop_scratch(df.sparkSession, mark, keep_last=True)
     return keep_rows(df, kept, id_col, text_col)

@@ -142,6 +142,40 @@ def test_rounds_change_no_group(spark):
     assert len(left) < pairs.count()
 
 
+def test_no_link_is_lost(spark):
+    """Short texts at the threshold, whose fingerprints may be far apart: every link counts, and none below it."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(8)]  # four shingles
+        rows += [(10 * g, words), (10 * g + 1, words + ["x"]), (10 * g + 2, words + ["q", "r"])]  # five, six
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(6)
+    kept = {r.doc_id for r in N.first_of_near_copies(docs).collect()}
+    assert kept == {i for i, _ in rows if i % 10 != 1}
+
+
+def test_exact_search_alone(spark):
+    """Without any SimHash group, and with split buckets, the rare shingles alone give the groups of a brute-force search."""
+    from logfault.llm import rare_shingles as R
+    rng = random.Random(3)
+    common = [f"c{rng.randrange(10**6)}" for _ in range(60)]
+    texts = {}
+    for g in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 300))]
+        texts |= {100 * g + i: " ".join(edited(rng, base, 0.03 * (i % 9))) for i in range(30)}
+        texts |= {100 * g + 50 + i: " ".join(edited(rng, base, 0.1) + common) for i in range(10)}
+    group, links = brute_groups(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("doc_id", "0L AS tag", "text")
+    prints = N.materialise(docs.mapInArrow(N._nodes(5), N._NODES), "prints")
+    nodes = N.materialise(prints.drop("doc_id", "tag").dropDuplicates(["node"]), "nodes")
+    alone = spark.createDataFrame([], "node long, root long")
+    left = R.survivors(nodes, 0.8)
+    pairs = R.open_pairs(R.rare_first(left, 0.8), R.marks_of(left), alone, 0.8, False, cell=8)
+    found = {frozenset(p) for p in N.alike(pairs, nodes).toLocalIterator()}
+    node_of = {shingles(texts[r.doc_id]): r.node for r in prints.select("doc_id", "node").collect()}
+    assert found == {frozenset((node_of[a], node_of[b])) for a, b in links} and len(links) > 100
+
+
 def test_odd_rows(spark):
     rows = [(3, "a b c", "x"), (1, "A\tB  c", "y"), (2, None, "z"), (4, "", "z"), (5, " \n", "z"), (None, "a b c", "n"), (None, "alone here", "n"),
             (None, "alone here", "n"), (6, "word " * 200_000, "l"), (7, "word " * 200_001, "l"), (8, "a b d", "x"), (8, "a b d", "x")]
