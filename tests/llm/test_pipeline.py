@@ -133,3 +133,20 @@ def test_run(spark, stages):
     before = scratch.scratch_mark()
     assert corpus_pipeline.run(spark, FOLDER).count() == stages[5].count()
     assert scratch.scratch_mark() == before + 1  # nothing but the result is left
+
+
+def test_scratch_of_earlier_stages_goes(spark, tmp_path):
+    """Also where the stages are not run by ``run``; what a result that nobody has written still reads stays."""
+    from pathlib import Path as P
+    there = lambda paths: [p for p in paths if P(p.removeprefix("file:")).is_dir()]
+    from logfault.sources import scratch
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    mark = scratch.scratch_mark()
+    corpus_pipeline.simhash_stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/1")
+    first = there(scratch.scratch_since(mark))
+    assert len(first) == 1  # the ids that stay
+    mark = scratch.scratch_mark()
+    second = corpus_pipeline.suffix_dedup_stage(spark, spark.read.parquet(f"{tmp_path}/1"), FOLDER)
+    assert not there(first)
+    third = corpus_pipeline.secrets_stage(spark, second, FOLDER)  # the second is not written yet
+    assert third.count() == spark.read.parquet(f"{tmp_path}/1").count()
