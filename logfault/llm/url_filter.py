@@ -67,12 +67,19 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """Marked character n-grams; a look-ahead finds them in one pass over the text."""
+    """Marked character n-grams; a look-ahead finds them in one pass over the text.
+
+    An empty host or path is one gram of its own, and one gram is in every
+    row. It stands for the intercept, which no penalty holds: a single URL
+    without grams would set it and all URLs of few known grams with it.
+    """
     def of(text: Column, mark: str) -> list[Column]:
         framed = F.regexp_replace(F.concat(F.lit("^"), text, F.lit("$")), "[0-9]", "0")
         return [F.transform(F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)),
                             lambda g: F.concat(F.lit(mark), g)) for n in GRAMS]
-    return F.concat(*of(host, "h"), *of(path, "p"))
+    def none(text: Column, mark: str) -> Column:
+        return F.when(text == "", F.array(F.lit(f"{mark}^$"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*of(host, "h"), none(host, "h"), *of(path, "p"), none(path, "p"), F.array(F.lit("all")))
 
 
 def _vectors(df: DataFrame, host: Column, path: Column) -> DataFrame:
@@ -97,7 +104,8 @@ def train(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict
     if not rows.take(1):
         return None
     one = rows.coalesce(1)  # at most ``sample`` rows
-    return LogisticRegression(featuresCol="_features", labelCol="y", regParam=1e-3, maxIter=60, standardization=False).fit(one)
+    return LogisticRegression(featuresCol="_features", labelCol="y", regParam=1e-3, maxIter=60, standardization=False,
+                              fitIntercept=False).fit(one)
 
 
 def filtered(df: DataFrame, model: LogisticRegressionModel | None, rules: Sequence[Rule], id_col: str = "page_id",

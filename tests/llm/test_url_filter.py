@@ -77,3 +77,16 @@ def test_empty_one_class_and_long(spark):
     assert len(rows) == 3 and {r.verdict for r in rows} == {U.BLOCK}
     empty = spark.createDataFrame([], "page_id long, url string")
     assert U.filtered(empty, U.train(one), URL_RULES).count() == 0
+
+
+def test_an_empty_url_does_not_sway_others(spark):
+    """The label of a URL without host and path is learned, and is not the verdict on every unknown URL."""
+    for of_empty, of_words in ((U.ALLOW, U.BLOCK), (U.BLOCK, U.ALLOW)):
+        rows = [(f"http://{w}{i}.org/{w}", of_words) for i in range(8) for w in ("cheap-pills", "casino-win")]
+        rows += [(f"http://{w}{i}.org/{w}", of_empty) for i in range(8) for w in ("city-library", "school-news")]
+        table = spark.createDataFrame([*rows, (None, of_empty)], "url string, verdict string")
+        df = spark.createDataFrame([(1, None), (2, "https://zq.fr/xx"), (3, "https://big-casino-win.net/a"), (4, "https://our-city-library.net/b")],
+                                   "page_id long, url string")
+        got = {r.page_id: r for r in U.filtered(df, U.train(table), []).collect()}
+        assert (got[1].verdict, got[3].verdict, got[4].verdict) == (of_empty, of_words, of_empty)
+        assert 0.4 < got[2].score < 0.6
