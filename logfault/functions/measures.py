@@ -46,3 +46,11 @@ def argmax(values) -> Column:
 def two_stage_label(first, second) -> Column:
     """Stage-one argmax 0 defers to stage two; otherwise it is the label less one."""
     return F.when(argmax(first) == 0, argmax(second)).otherwise(argmax(first) + 1)
+
+
+def rounded(value, digits: int) -> Column:
+    """``F.round``, which goes through decimal numbers, with those only next to ties and for large values."""
+    value = _col(value)
+    scaled = value * 10.0 ** digits
+    clear = (F.abs(scaled) < 1e12) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(clear, F.floor(scaled + 0.5) / F.lit(10.0 ** digits)).otherwise(F.round(value, digits))

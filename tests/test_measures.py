@@ -33,3 +33,14 @@ def test_value_mix(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "v string")
     assert {(r.v, r.n, r.share) for r in value_mix(df, "v").collect()} == {("a", 2, 0.5), ("b", 1, 0.25), (None, 1, 0.25)}
     assert not [n for n in value_mix(df, "v")._jdf.queryExecution().executedPlan().toString().split() if n == "Window"]
+
+
+def test_rounded_is_round(spark):
+    import random
+    from logfault.functions.measures import rounded
+    rng = random.Random(7)
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), 1e300, -1e-9, 0.1234565, 0.0000005, -0.0000005, 0.9999995, 2.5e-7, 123456789.1234565]
+    values += [rng.random() for _ in range(2000)] + [round(rng.uniform(-2, 2), 6) + 5e-7 for _ in range(2000)] + [rng.randint(0, 2 ** 24) / 2 ** 24 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    from pyspark.sql import functions as F
+    assert df.filter(~rounded("v", 6).eqNullSafe(F.round("v", 6))).count() == 0
